@@ -41,6 +41,8 @@ SECOND_PERSON = "you your yours yourself du dich dein tu toi vous te tú eres us
 BEGINNING = 5
 DIMENSIONS = 1 << 18
 MINED_VOTERS = 4
+#: Overall correlation from which two voters count as one.
+TWINS = 0.8
 #: Bounds of the fitting samples, in documents.
 MOST_LABELLED, MOST_FITTED = 20_000, 8_000
 
@@ -145,7 +147,14 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 40) ->
     total = counts.sum()
     fired = votes.sum(1)
     p = np.where(fired == 0, 0.01, 1 - 0.3**fired)
-    weight = np.ones(votes.shape[1])
+    # voters that nearly always fire together are one voter before any class is assumed: else they would be the class
+    mean = (counts @ votes) / max(total, 1)
+    cov = (votes * counts[:, None]).T @ votes / max(total, 1) - np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
+    twins = np.clip(cov / np.outer(dev, dev), 0, 1)
+    np.fill_diagonal(twins, 0)
+    twins[twins < TWINS] = 0
+    weight = 1 / (1 + twins.sum(1))
     model = None
     for i in range(rounds):
         one, zero = (counts * p).sum(), (counts * (1 - p)).sum()
@@ -155,15 +164,15 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 40) ->
         rate = np.clip(rate, 1e-4, 1 - 1e-4)
         rate[0] = np.minimum(rate[0], rate[1])
         if i >= 5:
-            weight, corr = _weights(votes, counts, p, rate)
+            weight, corr = _weights(votes, counts, p, rate, twins)
         else:
-            corr = np.zeros((votes.shape[1],) * 2)
+            corr = twins
         model = LabelModel(prior, rate, weight, corr)
         p = model.posterior(votes)
     return model
 
 
-def _weights(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rate: np.ndarray, twins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Correlations of voters within the classes, and each voter's share of a correlated group's one vote."""
     corr = np.zeros((votes.shape[1],) * 2)
     for y, q in ((0, 1 - p), (1, p)):
@@ -174,6 +183,7 @@ def _weights(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rate: np.ndar
         dev = np.sqrt(np.maximum(rate[y] * (1 - rate[y]), 1e-6))
         corr += 0.5 * np.clip(cov / np.outer(dev, dev), 0, 1)
     np.fill_diagonal(corr, 0)
+    corr = np.maximum(corr, twins)
     return 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1)), corr
 
 
