@@ -1,15 +1,23 @@
-"""All queries of the library with their SQL equivalents."""
+"""All queries of the library with the SQL each must agree with; the modules below register theirs on import."""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = "agg01_count"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "jon05_latest_status"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(name, sql=None):
+def query(name: str, sql: str | None = None):
     """Registers a query under its name, with the SQL it must agree with."""
 
     def add(f):
@@ -21,6 +29,65 @@ def query(name, sql=None):
     return add
 
 
-@query("agg01_count", "SELECT count(*) AS n FROM orders")
-def agg01_count(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count("*").alias("n"))
+def literal(v) -> str:
+    """A value as a SQL literal."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v}'"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+
+
+FACTS: dict[str, tuple[str, list[tuple], Callable[..., Column | dict[str, Column]]]] = {}
+
+
+def facts(name: str, inputs: str, cases: list[tuple], f: Callable[..., Column | dict[str, Column]]) -> None:
+    """A query that applies an expression to inputs dealt over all orders; the SQL states the value of each case.
+
+    ``inputs``: DDL of the input columns. ``cases``: inputs and then the expected value or values.
+    """
+    FACTS[name] = (inputs, cases, f)
+    n_in = len(split_ddl(inputs))
+    outs = len(cases[0]) - n_in
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = spark.createDataFrame([(i, *c[:n_in]) for i, c in enumerate(cases)], f"k bigint, {inputs}")
+        rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(len(cases))).alias("k"))
+        value = f(*(F.col(c.split()[0]) for c in split_ddl(inputs)))
+        named = value if isinstance(value, dict) else {"value": value}
+        return rows.join(F.broadcast(given), "k").select("id", *(c.alias(a) for a, c in named.items()))
+
+    QUERIES[name] = run
+    names = OUTPUTS.get(name) or (["value"] if outs == 1 else None)
+    values = ", ".join("(" + ", ".join([str(i), *(literal(v) for v in c[n_in:])]) + ")" for i, c in enumerate(cases))
+    ORACLE_SQL[name] = f"SELECT o_orderkey AS id, {', '.join(names)} FROM orders JOIN (VALUES {values}) AS v(k, {', '.join(names)}) ON o_orderkey % {len(cases)} = k"
+
+
+OUTPUTS: dict[str, list[str]] = {}
+
+
+def split_ddl(ddl: str) -> list[str]:
+    """Columns of a DDL string, commas inside type brackets kept."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def fields(name: str, outputs: str, inputs: str, cases: list[tuple], f: Callable[..., Column]) -> None:
+    """As ``facts`` for an expression that gives a struct; ``outputs``: its fields."""
+    OUTPUTS[name] = outputs.split()
+    facts(name, inputs, cases, lambda *c: {o: f(*c)[o] for o in outputs.split()})
+
+
+from rallyframe.plans import scalars  # noqa: E402,F401
