@@ -196,7 +196,7 @@ def size_label(size: Column) -> Column:
 
 
 def progress_percent(done: Column, total: Column) -> Column:
-    return F.coalesce(F.least(F.lit(100), F.bround(F.try_divide(done * 100, total)).cast("int")), F.lit(0))
+    return F.least(F.lit(100), F.coalesce(F.bround(F.try_divide(done * 100, total)).cast("int"), F.lit(0)))
 
 
 def eta_seconds(running: Column, done: Column, total: Column, elapsed: Column) -> Column:

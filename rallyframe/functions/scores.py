@@ -20,8 +20,8 @@ def zip_scores(winner: Column, loser: Column) -> Column:
     """``6-3, 6-4;`` of two int arrays up to the shorter; a pair of nulls is left out, one null counts 0."""
     n = F.least(F.size(winner), F.size(loser))
     pairs = F.slice(F.arrays_zip(winner.alias("w"), loser.alias("l")), F.lit(1), F.greatest(n, F.lit(0)))
-    pairs = F.filter(pairs, lambda p: p["0"].isNotNull() | p["1"].isNotNull())
-    return joined(F.transform(pairs, lambda p: F.concat(F.coalesce(p["0"], F.lit(0)).cast("string"), F.lit("-"), F.coalesce(p["1"], F.lit(0)).cast("string"))))
+    pairs = F.filter(pairs, lambda p: p["w"].isNotNull() | p["l"].isNotNull())
+    return joined(F.transform(pairs, lambda p: F.concat(F.coalesce(p["w"], F.lit(0)).cast("string"), F.lit("-"), F.coalesce(p["l"], F.lit(0)).cast("string"))))
 
 
 def period_score(periods: Column, home: Column, away: Column, away_won: Column) -> Column:
