@@ -66,7 +66,8 @@ def facts(name: str, inputs: str, cases: list[tuple], f: Callable[..., Column |
     QUERIES[name] = run
     names = OUTPUTS.get(name) or (["value"] if outs == 1 else None)
     values = ", ".join("(" + ", ".join([str(i), *(literal(v) for v in c[n_in:])]) + ")" for i, c in enumerate(cases))
-    ORACLE_SQL[name] = f"SELECT o_orderkey AS id, {', '.join(names)} FROM orders JOIN (VALUES {values}) AS v(k, {', '.join(names)}) ON o_orderkey % {len(cases)} = k"
+    shown = ", ".join(f'"{n}"' for n in names)
+    ORACLE_SQL[name] = f"SELECT o_orderkey AS id, {shown} FROM orders JOIN (VALUES {values}) AS v(k, {shown}) ON o_orderkey % {len(cases)} = k"
 
 
 OUTPUTS: dict[str, list[str]] = {}
@@ -90,4 +91,4 @@ def fields(name: str, outputs: str, inputs: str, cases: list[tuple], f: Callable
     facts(name, inputs, cases, lambda *c: {o: f(*c)[o] for o in outputs.split()})
 
 
-from rallyframe.plans import scalars  # noqa: E402,F401
+from rallyframe.plans import dashboards, dedup, feeds, scalars, streams  # noqa: E402,F401
