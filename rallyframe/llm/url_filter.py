@@ -54,8 +54,9 @@ def write_index(rules: list[tuple[str, str, str]], folder: str) -> str:
     head = np.array([len(keys), len(lengths)], np.int64)
     data = b"".join(x.tobytes() for x in (head, labels, lengths, keys, ends)) + b"".join(r[1] for r in rows) + bytes(r[2] for r in rows)
     path = os.path.join(folder, f"url-digests-{hashlib.sha256(data).hexdigest()[:24]}.bin")
-    with open(path, "wb") as f:
-        f.write(data)
+    if not os.path.exists(path):
+        with open(path, "wb") as f:
+            f.write(data)
     return path
 
 
@@ -110,12 +111,19 @@ def judge(urls: list[str | None], arrays: list[DigestArray], default: str) -> tu
     return [h for h, _ in parts], [p for _, p in parts], [b and b[2] for b in best], [default if b is None else ("allow", "block")[b[1]] for b in best]
 
 
+def index_folder() -> str:
+    """The driver's folder for index files: one a process, since Spark takes a file of one name from one place only."""
+    if not hasattr(index_folder, "own"):
+        index_folder.own = tempfile.mkdtemp(prefix="url-digests-")
+    return index_folder.own
+
+
 def send_rules(spark: SparkSession, rules: DataFrame, most_bytes: int = MOST_BYTES) -> list[str]:
     """Index files of a rule list (host, path, action) on every machine, each of at most about ``most_bytes``; their names."""
     rows = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     size = rows.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 18)).first()[0] or 0
     k, names = size // most_bytes + 1, []
-    folder = tempfile.mkdtemp(prefix="url-digests-")
+    folder = index_folder()
     for i in range(k):
         part = rows.where(F.pmod(F.xxhash64("host", "path"), F.lit(k)) == i) if k > 1 else rows
         path = write_index([tuple(r) for r in part.collect()], folder)

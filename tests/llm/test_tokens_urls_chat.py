@@ -107,3 +107,11 @@ def test_typed_parts(spark):
     assert "see <|image|><|audio|><|document|> <~|image|>" in r.formatted
     assert [(a["turn"], a["part"], a["kind"], a["ref"], a["tokens"]) for a in r.attachments] == [(0, 1, "image", "a.png", 4), (0, 2, "audio", "b.wav", 50), (0, 3, "document", "c.pdf", 768)]
     assert r.formatted.startswith("<|im_start|>user\n") and hashlib.sha256(r.formatted.encode()).hexdigest()
+
+
+def test_url_filter_twice_in_one_session(spark):
+    """The same list is sent once more without a clash of file names."""
+    pages = spark.createDataFrame([(1, "http://a.example.com/de/x"), (2, None)], "page_id bigint, url string")
+    rules = spark.createDataFrame([("example.com", "/de/", "block")], "host string, path string, action string")
+    for _ in range(2):
+        assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "allow"}
