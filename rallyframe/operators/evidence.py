@@ -63,3 +63,19 @@ def alias_ids(rows: DataFrame, id_col: str, name: str, order: str, synthetic: Co
 def pair_key(a: Column, b: Column) -> Column:
     """A key in which the order of two codes does not count."""
     return F.array_sort(F.array(a, b))
+
+
+def resolved(rows: DataFrame, cache: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """``rows`` with ``value`` and ``state`` from a cache of (key, known, value).
+
+    A cached failure to find anything counts as an answer (``absent``, the default value); what the cache lacks is
+    ``unseen`` and left to be fetched.
+    """
+    hit = rows.join(cache.select(key, F.col("known").alias("_known"), F.col(value).alias("_value")), key, "left")
+    state = F.when(F.col("_known").isNull(), "unseen").when(F.col("_known"), "known").otherwise("absent")
+    return hit.select(*rows.columns, F.when(F.col("_known"), F.col("_value")).otherwise(default).alias(value), state.alias("state"))
+
+
+def child_by_id(children: Column, field: str, wanted: Column) -> Column:
+    """The first element of an array of structs whose field equals ``wanted``, or null."""
+    return F.try_element_at(F.filter(children, lambda c: c[field] == wanted), F.lit(1))

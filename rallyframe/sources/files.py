@@ -109,3 +109,44 @@ def mondays(first: Column, last: Column) -> Column:
     """The Mondays of a range, or its first day where it has none."""
     start = F.next_day(F.date_sub(first, 1), "MO")
     return F.when(start <= last, F.sequence(start, F.greatest(start, last), F.expr("INTERVAL 7 DAYS"))).otherwise(F.array(first))
+
+
+def object_list(c: Column, element: str) -> Column:
+    """A JSON object as a list of one, a list as it is; anything else is empty, and so are elements that are no objects."""
+    whole = F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).when(F.ltrim(c).startswith("{"), F.array(c))
+    objects = F.filter(F.coalesce(whole, F.array().cast("array<string>")), lambda x: F.ltrim(x).startswith("{"))
+    return F.transform(objects, lambda x: F.from_json(x, element))
+
+
+def any_case(c: Column, key: str) -> Column:
+    """The value under a key of a JSON object in any spelling of case, the first such key; blank if absent or null."""
+    entries = F.map_entries(F.from_json(c, "map<string,string>"))
+    hit = F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == key.lower()), F.lit(1))
+    return F.coalesce(hit["value"], F.lit(""))
+
+
+def xml_or_json(c: Column, key: str) -> Column:
+    """One scalar of an XML document's root, else of a JSON object; blank if neither has it."""
+    xml = F.when(F.ltrim(c).startswith("<"), F.from_xml(c, f"{key} string", {"ignoreNamespace": "true"})[key])
+    return F.coalesce(F.nullif(F.trim(xml), F.lit("")), F.when(F.ltrim(c).startswith("{"), F.get_json_object(c, f"$.{key}")), F.lit(""))
+
+
+def rows_per_folder(spark: SparkSession, path: str, part: str, columns: str) -> DataFrame:
+    """Rows of the CSV files in each folder ``part=...`` under a path."""
+    rows = spark.read.schema(columns).csv(path, header=True, recursiveFileLookup=True)
+    return rows.groupBy(F.regexp_extract("_metadata.file_path", rf"/{part}=([^/]*)/", 1).alias(part)).agg(F.count("*").alias("n"))
+
+
+def write_csv_if_any(df: DataFrame, path: str) -> str:
+    """The path of a CSV folder, or an empty text, and no folder, where there are no rows."""
+    if df.isEmpty():
+        return ""
+    write_csv(df, path)
+    return path
+
+
+def url_kind(url: Column, sheet_host: str, list_path: str) -> Column:
+    """What an input URL is: a sheet of links, a page that lists pages, or a page itself; null for a blank one."""
+    u = F.trim(url)
+    host = F.lower(F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1))
+    return F.when(u == "", None).when(F.contains(host, F.lit(sheet_host)), "sheet").when(F.contains(u, F.lit(list_path)), "list").when(u.isNotNull(), "page")

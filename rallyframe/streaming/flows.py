@@ -38,14 +38,15 @@ def inactive(events: DataFrame, ts: str, key: str, as_of: Column, minutes: int)
     return last.where(F.col("last") < as_of - F.make_dt_interval(mins=F.lit(minutes)))
 
 
-def gate(load: Column, order: list[str], key: str, close_at: int, open_at: int) -> Column:
+def gate(load: Column, order: list[str], key: str, close_at: int, open_at: int, known: bool = True) -> Column:
     """Whether a gate is open after each reading: it closes at ``close_at``, opens again at ``open_at`` and holds between.
 
     The state is the last reading that decided anything, so a window finds it; before the first one the gate is open.
+    Where the gate's state was not ``known`` at the start, only a load that opens it opens it.
     """
     decided = F.when(load >= close_at, False).when(load <= open_at, True)
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(True))
+    return F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(known))
 
 
 def admitted(events: DataFrame, key: str, kind: str, most: int) -> DataFrame:
