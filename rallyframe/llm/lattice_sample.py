@@ -6,15 +6,16 @@ top-down by a best-first (A-star) search: a node's bound is the exact perturbed
 expanding the best open node leads straight to the next sample, and its siblings wait with bounds of their own, drawn
 conditionally on their parent's. Noise is a hash of row key, sample, step and child: the same row gives the same samples.
 
-Pieces never span the start of a word, so the lattice is a chain of small word lattices. The lattices of all texts of a batch
-are laid out over one array of characters: a trie gives the pieces that begin at each, sums from the ends of words backward
-give each piece's conditional probability. Below a prefix of log-probability -45 no sibling can reach the k best (its share
+No piece holds a space after another character, so the lattice is a chain of units: a run of spaces with the word behind it,
+of any length. (A model with such pieces has whole texts as units.) The lattices of all texts of a batch are laid out over one
+array of characters: a trie gives the pieces that begin at each, sums from the ends of units backward, held as logarithms so
+that length needs no cut, give each piece's conditional probability. Below a prefix of log-probability -45 no sibling can reach the k best (its share
 is lost in double precision), so none are kept there.
 
 ``log_inclusion`` is the log-probability that a segmentation's own noise exceeds the (k+1)-th largest value.
 
 Defined cases: null and empty texts have one empty segmentation (inclusion 1); a text with fewer than k segmentations gives
-all of them; equal keys and texts give equal samples; words over 32 characters are cut into runs of 32; characters without
+all of them; equal keys and texts give equal samples; characters without
 a piece are spelt in byte pieces; U+2581 reads as a space, as in the library; other columns are not read.
 """
 
@@ -30,7 +31,6 @@ from rallyframe.llm.common import bounded_batches, mixed, slices
 
 SAMPLES, ALPHA = 2, 0.5
 FLOOR = -45.0
-UNIT = 32
 SLICE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _LINE = 0x2581, 0x0A
@@ -47,10 +47,13 @@ class Lattice:
         self.names = [sp.id_to_piece(i) for i in range(n)]
         scores = np.array([sp.get_score(i) for i in range(n)])
         byte = [sp.is_byte(i) for i in range(n)]
-        usable = [i for i in range(n) if not (byte[i] or sp.is_control(i) or sp.is_unknown(i) or (scores[i] < -1e8 and len(self.names[i]) > 1))]
+        usable = [i for i in range(n) if not (byte[i] or sp.is_control(i) or sp.is_unknown(i))]
         # weights fall with a piece's rank in the model, as word frequencies do
         ranked = {i: r for r, i in enumerate(sorted(usable, key=lambda i: (-scores[i], i)))}
         self.pieces = {self.names[i]: (i, -alpha * float(np.log(2 + r))) for i, r in ranked.items()}
+        #: Whether units can begin at spaces and at line feeds: no piece runs across such a place.
+        self.space_begins = not any("▁" in p.lstrip("▁") for p in self.pieces)
+        self.line_begins = not any("\n" in p and p != "\n" for p in self.pieces)
         self.byte_id = np.zeros(256, np.int64)
         for i in range(n):
             if byte[i]:
@@ -111,12 +114,14 @@ class Chain:
         self.first = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts]))).astype(np.int64)
         if not n:
             return
-        begins = (self.chars == _SPACE) | (self.chars == _LINE)
-        begins[1:] |= self.chars[:-1] == _LINE
+        begins = np.zeros(n, bool)
+        if lattice.space_begins:
+            begins[1:] = (self.chars[1:] == _SPACE) & (self.chars[:-1] != _SPACE)
+        if lattice.line_begins:
+            begins |= self.chars == _LINE
+            begins[1:] |= self.chars[:-1] == _LINE
         begins[self.first[:-1][np.diff(self.first) > 0]] = True
         place = np.arange(n)
-        run = place - np.maximum.accumulate(np.where(begins, place, 0))
-        begins |= run % (UNIT + 1) == 0
         self.starts = np.flatnonzero(begins)
         size = np.diff(np.append(self.starts, n))
         end = np.repeat(np.append(self.starts[1:], n), size)
@@ -145,35 +150,39 @@ class Chain:
         m = int(self.count.sum())
         self.to, self.piece, weights = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
         nth = self.edge0.copy()
-        scale = -0.5 * lattice.byte_weight  # a factor a byte, the same on all ways through a word, keeps sums in range
-        upto = np.concatenate(([0], np.cumsum(spelt)))
         for at, length, piece, weight in found:
             slot = nth[at]
             nth[at] += 1
             self.to[slot], self.piece[slot] = at + length, piece
-            weights[slot] = np.exp(weight + scale * (upto[at + length] - upto[at]))
+            weights[slot] = weight
         self.owner = np.repeat(place, self.count)
-        # sums backward from the ends of words, all words at once
+        # sums backward from the ends of units, all units at once
         left = end - place
-        order = np.argsort(left.astype(np.uint8)[self.owner], kind="stable")
+        most = int(left.max())
+        order = np.argsort(left.astype(np.min_scalar_type(most))[self.owner], kind="stable")
         w, to, own = weights[order], self.to[order], self.owner[order]
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(left[own], minlength=UNIT + 2))))
-        total = np.ones(n + 1)
-        inner = np.zeros(m)
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(left[own], minlength=most + 1))))
+        total = np.zeros(n + 1)
+        shares, logp = np.empty(m), np.empty(m)
         closes = to == end[own]
-        for d in range(1, int(left.max()) + 1):
+        for d in range(1, most + 1):
             a, b = int(cuts[d]), int(cuts[d + 1])
             if a < b:
-                part = w[a:b] * np.where(closes[a:b], 1.0, total[to[a:b]])
+                part = w[a:b] + np.where(closes[a:b], 0.0, total[to[a:b]])
                 o = own[a:b]
                 lead = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                total[o[lead]] = np.add.reduceat(part, lead)
-                inner[a:b] = part
-        share = np.empty(m)
-        share[order] = inner / total[own]
+                size = np.diff(np.append(lead, b - a))
+                top = np.maximum.reduceat(part, lead)
+                part -= np.repeat(top, size)
+                ratio = np.exp(part)
+                over = np.add.reduceat(ratio, lead)
+                shares[a:b] = ratio / np.repeat(over, size)
+                over = np.log(over)
+                logp[a:b] = part - np.repeat(over, size)
+                total[o[lead]] = top + over
+        share, self.logp = np.empty(m), np.empty(m)
+        share[order], self.logp[order] = shares, logp
         self.share = share
-        with np.errstate(divide="ignore"):
-            self.logp = np.log(np.minimum(share, 1.0))
         upto = np.cumsum(share)
         self.below = upto - np.concatenate(([0.0], upto))[self.edge0][self.owner]
 
