@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -339,8 +340,8 @@ def sample_batch(lattice: Lattice, texts: list[str], seeds: np.ndarray, k: int)
     return out
 
 
-def sample_segmentations(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id", k: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True, key: Column | None = None) -> DataFrame:
-    """One row a sample: id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_xxh64, round_trip and, ``with_ids``, ids.
+def sample_segmentations(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id", k: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True, key: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a sample: id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_xxh64, round_trip and, ``with_ids``, ids; then ``keep``.
 
     ``model``: the path of a model file on every machine. ``key``: what seeds a row's noise (its id by default).
     """
@@ -368,20 +369,34 @@ def sample_segmentations(docs: DataFrame, model: str, text: str = "text", id_col
                     offsets = np.cumsum([0, *(len(r[2]) for r in rows)])
                     flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [*names, *["ids"] * with_ids])
+                columns += [b.column(c).take(pa.array([r[0] for r in rows], pa.int64())) for c in keep]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *["ids"] * with_ids, *keep])
 
     schema = f"`{id_col}` {kind}, sample int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, ids_xxh64 string, round_trip boolean"
-    return docs.select(id_col, F.col(text).alias("_text"), seed.alias("_seed")).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(id_col, F.col(text).alias("_text"), seed.alias("_seed"), *keep).mapInArrow(run, schema + ", ids array<int>" * with_ids + kept)
+
+
+def sampled_and_read_back(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id", k: int = SAMPLES) -> DataFrame:
+    """The samples with their ids; ``round_trip`` compares the text decoded from the ids with the document's."""
+    digest = F.xxhash64(F.translate(F.coalesce(F.col(text), F.lit("")), "▁", " "))
+    samples = sample_segmentations(docs.select(id_col, F.col(text).alias("_source"), digest.alias("_digest")), model, "_source", id_col, k, keep=("_digest",)).drop("round_trip")
+    back = decode_segmentations(samples, model, keep=(*samples.columns,))
+    return back.select(id_col, "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_xxh64", (F.xxhash64("text") == F.col("_digest")).alias("round_trip"), "ids")
 
 
 def decode_segmentations(samples: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id", "sample")) -> DataFrame:
     """``keep`` and ``text`` read back from piece ids."""
+    bounded_batches(samples.sparkSession)
     kinds = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         lattice = _LATTICES.get((model, ALPHA)) or _LATTICES.setdefault((model, ALPHA), Lattice(model, ALPHA))
         for b in batches:
-            texts = [decode(lattice, np.array(x or [], np.int64)).tobytes().decode("utf-8", "replace")[1:] for x in b.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+            step = max(1, int(SLICE * b.num_rows // max(1, pc.sum(pc.list_value_length(b.column("_ids"))).as_py() or 0)))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                texts = [decode(lattice, x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64)).tobytes().decode("utf-8", "replace")[1:] for x in part.column("_ids")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return samples.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, f"{kinds}, text string")

@@ -50,3 +50,20 @@ def test_pieces_of_spaces_and_across_the_33rd_character_are_sampled():
             at = np.cumsum([len(x) for x in names])
             across |= 33 not in at
         assert crosses in seen if crosses else across
+
+
+def test_query_and_stage_give_ids_that_decode_to_the_text(spark, tmp_path):
+    import corpus_pipeline
+    from fixtures import documents
+
+    from rallyframe.llm import queries
+
+    docs, rows = documents(spark, extra=["a ▁ b", "\n\n", "  two  spaces "])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    text = {t or "" for _, t, *_ in rows}
+    for out in (queries.op5_sentencepiece(spark, str(tmp_path)), corpus_pipeline.encode(spark, docs, str(tmp_path))):
+        assert "ids" in out.columns
+        got = out.collect()
+        assert all(r.round_trip and len(r.ids) == r.n_pieces for r in got)
+        lattice = lattice_sample.Lattice(MODEL)
+        assert {lattice_sample.decode(lattice, np.array(r.ids, np.int64)).tobytes().decode()[1:] for r in got} == {t.replace("▁", " ") for t in text}
