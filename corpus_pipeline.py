@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm import decontaminate, lattice_sample, queries, secret_scan, simhash, toxicity
+from rallyframe.llm import decontaminate, lattice_sample, near_copies, queries, secret_scan, toxicity
 from rallyframe.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,13 +22,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id in each component of near duplicates (of equal ids the first text); null ids are kept.
+    """One document of each component of near copies (5-word shingles, Jaccard similarity 0.8 or more, verified): that of
+    smallest id, null ids last; of equal ids, repeated rows too, one row.
 
-    Texts without a word share fingerprint zero, and so form one group.
+    Texts without a word have no shingles, and so form one group.
     """
-    seen = simhash.near_duplicates(docs)
-    kept = seen.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return near_copies.one_of_each(docs, COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
