@@ -1,6 +1,6 @@
 """A cleaning pipeline over ``documents``: each stage works on all that the one before it kept and is written as Parquet.
 
-Toxic documents go; of near duplicates the one with the smallest id stays; contaminated documents go; secrets in texts are
+Toxic documents go; of near copies the one with the smallest id stays; contaminated documents go; secrets in texts are
 blotted out; what remains is encoded. All stages but the last return the columns of ``documents``.
 """
 
@@ -51,7 +51,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", blot_secrets), ("encoding", encode)]
 
-#: Scores, components and sampled segmentations have no SQL form; tests compare the stages with brute force.
+#: Scores, components and sampled segmentations have no SQL form; tests compare the near-copy stage with brute force and read the
+#: encoded texts back. The other three stages are tested as operators only.
 ORACLE_SQL = None
 
 
