@@ -46,7 +46,7 @@ def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every text with their piece ids, read back for round_trip."""
-    return lattice_sample.sampled_and_read_back(docs, queries.tokenizer_path("piece_bpe_32k.model"))
+    return lattice_sample.sample_segmentations(docs, queries.tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", blot_secrets), ("encoding", encode)]
