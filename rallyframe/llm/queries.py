@@ -61,7 +61,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_sample.sampled_and_read_back(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return lattice_sample.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
