@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from fixtures import documents, empty
 from pyspark.sql import functions as F
 
@@ -60,3 +63,42 @@ def test_digest_of_no_spans(spark):
     docs = spark.createDataFrame([(1, "")], "doc_id bigint, text string")
     r = secret_scan.scan(docs).select(F.sha2(secret_scan.joined(F.col("base")), 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"").hexdigest()
+
+
+def test_interval_joins_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        a, b = ([(s, 0, "k", s + rng.randrange(1, 9)) for s in sorted(rng.randrange(300) for _ in range(rng.randrange(0, 12)))] for _ in range(2))
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, f"i int, a {secret_scan._SPANS}, b {secret_scan._SPANS}")
+    got = {r.i: ([tuple(x) for x in r.near], [tuple(x) for x in r.apart]) for r in df.select("i", secret_scan._near(F.col("a"), F.col("b"), 7).alias("near"), secret_scan._apart(F.col("a"), F.col("b")).alias("apart")).collect()}
+    for i, a, b in rows:
+        near = [s for s in a if any(0 <= o[0] - s[3] <= 7 or 0 <= s[0] - o[3] <= 7 for o in b)]
+        assert got[i] == (near, [s for s in a if not any(o[0] < s[3] and s[0] < o[3] for o in b)])
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "é user: abcd token=abcdefabcdef0123 Zq9LmR4tXw82KpVb71NcYsEd " * 20_000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    r = secret_scan.scan(docs, keep=("text",)).select("n_assign", "n_hex", secret_scan.joined(F.col("base")).alias("b"), F.size("linked").alias("n"), secret_scan.redact(F.col("text"), secret_scan.secrets(F.col("all_spans"))).alias("t")).first()
+    assert time.perf_counter() - began < 60
+    assert (r.n_assign, r.n_hex, r.n) == (20_000, 20_000, 40_000)
+    assert r.b == ",".join(f"{k}:{s}:{e}" for s, _, k, e in base(text))
+    assert r.t == "é user: abcd [SECRET] [SECRET] " * 20_000
+
+
+def test_secrets_go_and_identifiers_stay(spark):
+    text = "account: marilyn77 see https://docs.example.org/guide and token=abcdefabcdefabcdef"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = secret_scan.scan(docs, keep=("text",))
+    assert found.select(secret_scan.redact(F.col("text"), secret_scan.secrets(F.col("all_spans"))).alias("t")).first().t == text.replace("token=abcdefabcdefabcdef", "[SECRET]")
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, EXTRA[0], 7, 8, 9)], "doc_id bigint, text string, _t int, base int, _a int")
+    r = secret_scan.scan(docs, keep=("_t", "_a")).first()
+    assert (r._t, r._a, r.n_assign, len(r.base)) == (7, 9, 1, 2)
+    with pytest.raises(ValueError, match="base"):
+        secret_scan.scan(docs, keep=("base",))
