@@ -42,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_clashes(inputs: tuple[str, ...], outputs: tuple[str, ...]) -> None:
+    """Columns to keep may not have the name of a computed one: the result would have two of one name."""
+    if taken := sorted(set(inputs) & set(outputs)):
+        raise ValueError(f"output names asked for as input columns: {taken}")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array as one uint8 array, and n + 1 offsets into it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

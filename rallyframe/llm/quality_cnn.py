@@ -5,10 +5,13 @@ response in a chunk is kept; over the chunks their mean and their maximum make t
 unit turns these into a probability. A filter over bytes is a sum of table rows (one table a position), so a pass over the
 text is a handful of look-ups and additions, and training follows the gradient through each chunk's strongest place only.
 
-The training rows are a bounded sample of labelled rows the caller allows; ids, language and source are never inputs.
+The training rows are a bounded sample of labelled rows the caller allows, of texts of any length: of a text of more than
+MOST_CHUNKS chunks that many, spread over all of it, are sent to training. Ids, language and source are never inputs.
 
 Defined cases: null and empty texts have no chunk: their features are zero and their score is the bias's; short texts are one
-padded chunk; one label only or none gives the share of ones (0.5 without labels); equal texts score alike.
+padded chunk; one label only or none gives the share of ones (0.5 without labels); equal texts score alike beside any others;
+null ids keep their row and match no label; other columns are not read, and a name in ``keep`` that is also the output's is
+refused.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import bounded_batches, slices, text_bytes
+from rallyframe.llm.common import bounded_batches, refuse_clashes, slices, text_bytes
 
 FILTERS, WIDTH = 16, 5
 #: Chunks of 4 blocks of 128 bytes; each begins 3 blocks after the one before, so that they overlap by one.
 BLOCK, PER_CHUNK, STRIDE = 128, 4, 3
-MOST_LABELLED, MOST_TEXT_BYTES = 3000, 1 << 15
+MOST_LABELLED = 3000
 EPOCHS, GROUP, TRAIN_CHUNKS = 6, 32, 8
+MOST_CHUNKS = EPOCHS * TRAIN_CHUNKS
 
 
 @dataclass
@@ -50,18 +55,23 @@ def responses(net: Network, raw: np.ndarray) -> np.ndarray:
 def document_features(net: Network, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 13) -> np.ndarray:
     """Mean and maximum over chunks of the max-pooled responses, for each text of a batch; zeros for empty texts.
 
-    Texts lie in padded blocks, so pooling is a maximum over fixed runs; a block reads a few bytes of the one after it.
+    Texts lie in padded blocks, so pooling is a maximum over fixed runs. A block reads a few bytes of the one after it; a
+    text's last block has no such places.
     """
     n = np.diff(offsets)
     blocks = np.where(n > 0, np.maximum((n + BLOCK - 1) // BLOCK, 1), 0)
     first = np.concatenate(([0], np.cumsum(blocks)))
+    last = np.zeros(int(first[-1]), bool)
+    last[first[1:][blocks > 0] - 1] = True
     padded = np.zeros(int(first[-1]) * BLOCK + WIDTH - 1, np.uint8)
     to = np.repeat(first[:-1] * BLOCK - offsets[:-1], n) + np.arange(len(raw))
     padded[to] = raw
     pooled = np.empty((int(first[-1]), FILTERS), np.float32)
     for a in range(0, len(pooled), step // BLOCK):
         b = min(len(pooled), a + step // BLOCK)
-        pooled[a:b] = responses(net, padded[a * BLOCK : b * BLOCK + WIDTH - 1]).reshape(b - a, BLOCK, FILTERS).max(1)
+        found = responses(net, padded[a * BLOCK : b * BLOCK + WIDTH - 1]).reshape(b - a, BLOCK, FILTERS)
+        found[last[a:b], BLOCK - WIDTH + 1 :] = -np.inf
+        pooled[a:b] = found.max(1)
     out = np.zeros((len(n), 2 * FILTERS), np.float32)
     full = np.flatnonzero(blocks)
     if not len(full):
@@ -85,8 +95,20 @@ def predict(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
-    """Adam on the logistic loss, classes weighted to equal shares; each step sees at most TRAIN_CHUNKS random chunks of a text."""
+def chunks_of(text: bytes, most: int = MOST_CHUNKS) -> list[bytes]:
+    """A text's chunks for training; of more than ``most`` that many, drawn over the whole text by a hash of it."""
+    if not text:
+        return []
+    count = max(1, -(-(len(text) - BLOCK * PER_CHUNK) // (BLOCK * STRIDE)) + 1)
+    which = np.arange(count)
+    if count > most:
+        which = np.sort(np.random.default_rng(xxhash.xxh64_intdigest(text)).choice(count, most, replace=False))
+    return [text[c * BLOCK * STRIDE : c * BLOCK * STRIDE + BLOCK * PER_CHUNK] for c in which.tolist()]
+
+
+def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> Network:
+    """Adam on the logistic loss, classes weighted to equal shares. ``texts``: the chunks of each; a step sees at most
+    TRAIN_CHUNKS random ones of a text."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     texts, labels = [t for t in texts if t], np.array([y for t, y in zip(texts, labels, strict=True) if t], float)
@@ -106,10 +128,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
             ids = order[a : a + GROUP]
             parts, owner = [], []
             for k, i in enumerate(ids):
-                count = max(1, -(-(len(texts[i]) - size) // (BLOCK * STRIDE)) + 1)
-                for c in rng.permutation(count)[:TRAIN_CHUNKS]:
-                    piece = texts[i][c * BLOCK * STRIDE :][:size]
-                    parts.append(np.frombuffer(piece.ljust(size, b"\0"), np.uint8))
+                for c in rng.permutation(len(texts[i]))[:TRAIN_CHUNKS]:
+                    parts.append(np.frombuffer(texts[i][c].ljust(size, b"\0"), np.uint8))
                     owner.append(k)
             x, owner = np.stack(parts), np.array(owner)
             flat = np.concatenate((x.reshape(-1), np.zeros(WIDTH - 1, np.uint8)))
@@ -143,16 +163,24 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
     return net
 
 
-def fit(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "label", most: int = MOST_LABELLED, most_bytes: int = MOST_TEXT_BYTES) -> Network:
-    """Trains on at most ``most`` labelled rows: those of smallest id hash, with texts of at most ``most_bytes`` each."""
-    sample = training.where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), "_y").limit(most)
-    rows = docs.select(id_col, F.col(text).alias("_text")).where(F.octet_length("_text") <= most_bytes).join(F.broadcast(sample), id_col)
-    found = rows.select(F.encode("_text", "utf-8").alias("t"), "_y").orderBy(F.xxhash64("t"), "_y").limit(most).toArrow()
-    return train(found.column("t").to_pylist(), np.array(found.column("_y").to_pylist(), float))
+def fit(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "label", most: int = MOST_LABELLED) -> Network:
+    """Trains on at most ``most`` labelled rows: those of smallest id hash; each sends at most MOST_CHUNKS chunks."""
+    bounded_batches(docs.sparkSession)
+    sample = training.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(most)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", F.xxhash64("_text").alias("_h"), "_y")
+
+    def cut(batches):
+        for b in batches:
+            chunks = [chunks_of((t or "").encode()) for t in b.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.list_(pa.binary())), b.column("_h"), b.column("_y")], ["chunks", "h", "y"])
+
+    found = rows.mapInArrow(cut, "chunks array<binary>, h bigint, y int").orderBy("h", "y").limit(most).toArrow()
+    return train(found.column("chunks").to_pylist(), np.array(found.column("y").to_pylist(), float))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score``, one row a document."""
+    refuse_clashes(keep, ("score",))
     bounded_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(net)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -10,7 +10,9 @@ posterior labels of a bounded sample and gives the score.
 Labels enter only through rows the caller marks as training rows; ids, language and source are never inputs.
 
 Defined cases: null and empty texts have no words and get the classifier's score of a text without any; texts are read
-whole; without labels only the hand-written voters vote; without documents the result is empty; repeated rows score alike.
+whole; without labels only the hand-written voters vote; without documents the result is empty; repeated rows score alike;
+null ids keep their row and match no label; other columns are not read, and a name in ``keep`` that is also the output's is
+refused.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import ALNUM, LOWER, bounded_batches, mixed, slices, text_bytes, word_hashes, word_spans
+from rallyframe.llm.common import ALNUM, LOWER, bounded_batches, mixed, refuse_clashes, slices, text_bytes, word_hashes, word_spans, written
 
 # Insulting words by theme (English) and language.
 LEXICONS = {
@@ -233,102 +235,87 @@ def fit_linear(rows: list[np.ndarray], votes: np.ndarray, target: np.ndarray, ro
 
 
 def fit(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "label", most_labelled: int = MOST_LABELLED, most_fitted: int = MOST_FITTED) -> tuple[Voters, LabelModel, Linear]:
-    """``training``: (id, label) of rows that may be learned from. Fitting samples are the rows of smallest hash, at most the given bounds."""
+    """``training``: (id, label) of rows that may be learned from. Fitting samples are the rows of smallest hash, at most the given bounds.
+
+    The texts are read twice: the labelled ones for mined words, then all for the vote patterns and the classifier's sample.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = training.where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), "_y").limit(most_labelled)
-    labelled = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sample), id_col).select("_text", "_y")
-
-    def gathered(batches):
-        for whole in batches:
-            for b in slices(whole, "_text"):
-                row, words, begin, n = features(b.column("_text"))
-                cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-                pack = [(np.unique(words[i:j]).tobytes(), np.unique(begin[i:j]).tobytes()) for i, j in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pack], pa.binary()), pa.array([x for _, x in pack], pa.binary()), b.column("_y")], ["w", "b", "y"])
-
-    rows = labelled.mapInArrow(gathered, "w binary, b binary, y int").where("y = 1").toArrow()
-    clean = labelled.mapInArrow(gathered, "w binary, b binary, y int").where("y = 0").select("w", "b")
-    bad = [(np.frombuffer(w, np.uint64), np.frombuffer(b, np.uint64)) for w, b in zip(rows.column("w").to_pylist(), rows.column("b").to_pylist(), strict=True)]
-    voters = Voters(*mined(clean, bad))
-    counted = docs.select(F.col(text).alias("_text"))
-
-    def pattern(batches):
-        seen: dict[int, int] = {}
+    sample = training.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(most_labelled)
+    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y")
+    voters = Voters(*mined(labelled))
+    total = docs.count()
+    limit = (2**63 - 1) * min(most_fitted, total) // max(total, 1)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    seen = docs.select(whole.alias("_text"), (F.shiftrightunsigned(F.xxhash64(whole), 1) <= limit).alias("_in"))
+
+    def voted(batches):
+        """Counts of vote patterns (no ``dims``), and the features of sampled rows (n = 0)."""
+        patterns: dict[int, int] = {}
         weight = 1 << np.arange(len(voters.names), dtype=np.int64)
         for whole in batches:
             for b in slices(whole, "_text"):
-                key, n = np.unique(voters.votes(*features(b.column("_text"))) @ weight, return_counts=True)
-                for k, c in zip(key.tolist(), n.tolist(), strict=True):
-                    seen[k] = seen.get(k, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["pattern", "n"])
-
-    patterns = counted.mapInArrow(pattern, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").toArrow()
+                row, words, begin, n = features(b.column("_text"))
+                code = voters.votes(row, words, begin, n) @ weight
+                for k, c in zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True):
+                    patterns[k] = patterns.get(k, 0) + c
+                chosen = np.flatnonzero(b.column("_in").to_numpy(zero_copy_only=False))
+                if len(chosen):
+                    inside = np.isin(row, chosen)
+                    at, dim = presence(np.searchsorted(chosen, row[inside]), words[inside], begin[inside])
+                    cut = np.searchsorted(at, np.arange(len(chosen) + 1))
+                    data = [dim[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(code[chosen]), pa.array(np.zeros(len(chosen), np.int64)), pa.array(data, pa.binary())], ["pattern", "n", "dims"])
+        yield pa.RecordBatch.from_arrays([pa.array(patterns.keys(), pa.int64()), pa.array(patterns.values(), pa.int64()), pa.nulls(len(patterns), pa.binary())], ["pattern", "n", "dims"])
+
+    found = written(seen.mapInArrow(voted, "pattern bigint, n bigint, dims binary"), "toxicity-votes")
+    patterns = found.where("dims is null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").toArrow()
     keys, counts = np.array(patterns.column("pattern").to_pylist(), np.int64), np.array(patterns.column("n").to_pylist(), float)
     votes = ((keys[:, None] >> np.arange(len(voters.names))) & 1).astype(bool)
     model = fit_label_model(votes, counts) if len(keys) else fit_label_model(np.zeros((1, len(voters.names)), bool), np.ones(1))
-    return voters, model, fit_on_posteriors(docs, voters, model, text, int(counts.sum()), most_fitted)
-
-
-def mined(clean: DataFrame, bad: list[tuple[np.ndarray, np.ndarray]], least: int = 3, ratio: float = 12.0) -> tuple[np.ndarray, np.ndarray]:
-    """Mined words and beginnings; what the documents labelled 0 hold of them is counted where these lie."""
-    out = []
-    for k, name in enumerate("wb"):
-        if not bad:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        keys, n_bad = np.unique(np.concatenate([x[k] for x in bad]), return_counts=True)
-        keys, n_bad = keys[(n_bad >= least) & (keys != 0)], n_bad[(n_bad >= least) & (keys != 0)]
-
-        def count(batches, keys=keys, name=name):
-            total = np.zeros(len(keys) + 1, np.int64)
-            for b in batches:
-                for x in b.column(name).to_pylist():
-                    h = np.frombuffer(x, np.uint64)
-                    if len(keys):
-                        at = np.searchsorted(h, keys)
-                        at[at == len(h)] = 0
-                        total[:-1] += (h[at] == keys) if len(h) else False
-                    total[-1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], ["i", "n"])
-
-        good = clean.select(name).mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-        n_good = np.zeros(len(keys) + 1)
-        n_good[good.column("i").to_numpy()] = good.column("n").to_numpy()
-        rate = (n_bad / len(bad)) / ((n_good[:-1] + 0.5) / (n_good[-1] + 1))
-        out.append(np.sort(keys[rate >= ratio]))
-    return out[0], out[1]
-
-
-def fit_on_posteriors(docs: DataFrame, voters: Voters, model: LabelModel, text: str, total: int, most: int) -> Linear:
-    """The classifier, trained on posterior labels of the documents whose text hashes below a bound that yields about ``most``."""
-    share = min(1.0, most / max(total, 1))
-    limit = int(share * 2**63)
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    if share < 1:
-        sample = sample.where(F.shiftrightunsigned(F.xxhash64("_text"), 1) < limit)
-
-    def gathered(batches):
-        weight = 1 << np.arange(len(voters.names), dtype=np.int64)
-        for whole in batches:
-            for b in slices(whole, "_text"):
-                row, words, begin, n = features(b.column("_text"))
-                votes = voters.votes(row, words, begin, n)
-                at, dim = presence(row, words, begin)
-                cut = np.searchsorted(at, np.arange(len(n) + 1))
-                data = [dim[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(votes @ weight)], ["dims", "votes"])
-
     # copies of one text pass or fail the bound together, so distinct rows keep the sample bounded
-    rows = sample.mapInArrow(gathered, "dims binary, votes bigint").distinct().orderBy(F.xxhash64("dims"), "votes").limit(most).toArrow()
+    rows = found.where("dims is not null").select("dims", "pattern").distinct().orderBy(F.xxhash64("dims"), "pattern").limit(most_fitted).toArrow()
     dims = [np.frombuffer(x, np.int32) for x in rows.column("dims").to_pylist()]
-    votes = ((rows.column("votes").to_numpy()[:, None] >> np.arange(len(voters.names))) & 1).astype(bool)
     if not dims:
-        return Linear(np.zeros(DIMENSIONS), np.zeros(len(voters.names)), -2.0)
-    return fit_linear(dims, votes, model.posterior(votes))
+        return voters, model, Linear(np.zeros(DIMENSIONS), np.zeros(len(voters.names)), -2.0)
+    votes = ((rows.column("pattern").to_numpy()[:, None] >> np.arange(len(voters.names))) & 1).astype(bool)
+    return voters, model, fit_linear(dims, votes, model.posterior(votes))
+
+
+def mined(labelled: DataFrame, least: int = 3, ratio: float = 12.0) -> tuple[np.ndarray, np.ndarray]:
+    """Words and beginnings found in ``least`` documents labelled 1 or more and ``ratio`` times as often as in those labelled 0.
+
+    ``labelled``: _text, _y. Tasks count, Spark adds up and selects; the driver gets the mined hashes alone.
+    """
+
+    def counted(batches):
+        for whole in batches:
+            for b in slices(whole, "_text"):
+                row, words, begin, _ = features(b.column("_text"))
+                y = b.column("_y").to_numpy()
+                for kind, keys in ((0, words), (1, begin)):
+                    full = keys != 0
+                    pairs = np.unique(np.stack((keys[full], row[full].astype(np.uint64))), axis=1)
+                    hashes, place = np.unique(pairs[0], return_inverse=True)
+                    own = y[pairs[1].astype(np.int64)]
+                    bad, good = (np.bincount(place, own == v, minlength=len(hashes)).astype(np.int64) for v in (1, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(bad), pa.array(good)], ["kind", "hash", "bad", "good"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([int((y == 1).sum())], pa.int64()), pa.array([int((y == 0).sum())], pa.int64())], ["kind", "hash", "bad", "good"])
+
+    words = labelled.mapInArrow(counted, "kind int, hash bigint, bad bigint, good bigint").groupBy("kind", "hash").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = written(words.where((F.col("kind") < 0) | (F.col("bad") >= least)), "toxicity-words")
+    total = words.where("kind < 0").first()
+    if total is None or not total.bad:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rate = (F.col("bad") / F.lit(total.bad)) / ((F.col("good") + 0.5) / F.lit(total.good + 1))
+    found = words.where("kind >= 0").where(rate >= ratio).select("kind", "hash").toArrow()
+    kind, keys = found.column("kind").to_numpy(), found.column("hash").to_numpy().view(np.uint64)
+    return np.sort(keys[kind == 0]), np.sort(keys[kind == 1])
 
 
 def score(docs: DataFrame, voters: Voters, linear: Linear, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score``, one row a document. ``keep`` may hold the text itself."""
+    refuse_clashes(keep, ("score",))
     bounded_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast((voters, linear))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from fixtures import documents, empty, words
 
 from rallyframe.llm import lattice_sample, quality_cnn, toxicity
@@ -76,7 +77,9 @@ def test_network_pooling_against_a_plain_loop():
     assert not got[0].any()
     blocks = [max(1, -(-len(t) // 128)) for t in texts]
     flat = np.frombuffer(b"".join(t.ljust(128 * b, b"\0") for t, b in zip(texts[1:], blocks[1:], strict=True)) + b"\0" * 4, np.uint8)
-    r = sum(net.tables[j][flat[j : len(flat) - 4 + j]] for j in range(5)).reshape(-1, 128, 16).max(1)
+    r = sum(net.tables[j][flat[j : len(flat) - 4 + j]] for j in range(5)).reshape(-1, 128, 16)
+    r[np.cumsum(blocks[1:]) - 1, 124:] = -np.inf  # a text's last block has no window that runs past it
+    r = r.max(1)
     at = 0
     for i in range(1, len(texts)):
         own, at = r[at : at + blocks[i]], at + blocks[i]
@@ -93,6 +96,38 @@ def test_quality_edge_cases(spark):
     assert quality_cnn.score(empty(spark), net).count() == 0
 
 
+def test_a_text_scores_alike_beside_any_other():
+    rng = np.random.default_rng(3)
+    net = quality_cnn.Network(rng.normal(size=(5, 256, 16)).astype(np.float32), rng.normal(size=16).astype(np.float32), rng.normal(size=32).astype(np.float32), 0.1)
+    text = rng.bytes(256)
+    seen = {float(quality_cnn.predict(net, np.frombuffer(text + other, np.uint8), np.array([0, 256, 256 + len(other)]))[0]) for other in (b"", b"\xff" * 9, rng.bytes(700))}
+    assert len(seen) == 1
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """All labelled texts are of over 32 KB, two of a megabyte and more."""
+    rng = random.Random(4)
+    base = words(rng, 8000)
+    kinds = "%%%*** ###&&& ", "calm words here "
+    rows = [(i, words(rng, 40) + base + kinds[i % 2] * (1000 if i > 1 else 60_000)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    net = quality_cnn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id bigint, label int"))
+    got = {r.doc_id: r.score for r in quality_cnn.score(docs, net).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(150, 200))
+    assert all(len(quality_cnn.chunks_of(t.encode())) <= quality_cnn.MOST_CHUNKS for _, t in rows[:2])
+
+
+def test_kept_columns_may_clash_with_inner_names_not_with_outputs(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 5, 6, "y"), (None, None, None, 7, "z")], "doc_id bigint, text string, score int, _y int, label string")
+    none = spark.createDataFrame([], "doc_id bigint, label int")
+    voters, _, linear = toxicity.fit(docs, none)
+    net = quality_cnn.fit(docs, none)
+    for score in (lambda keep: toxicity.score(docs, voters, linear, keep=keep), lambda keep: quality_cnn.score(docs, net, keep=keep)):
+        assert {(r.doc_id, r._y, r.label) for r in score(("doc_id", "_y", "label")).collect()} == {(1, 6, "y"), (None, 7, "z")}
+        with pytest.raises(ValueError, match="score"):
+            score(("doc_id", "score"))
+
+
 def segmentations(lattice, text):
     if not text:
         return {(): 0.0}
