@@ -102,14 +102,14 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple
     return starts, np.flatnonzero(stops), np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each word (of its first ``most`` bytes), eight bytes at a time, all words at once."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     padded = np.concatenate((raw, np.zeros(8, np.uint8)))
     eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
     left = (ends - starts) if most is None else np.minimum(ends - starts, most)
-    out = mixed(left.astype(np.uint64) + _STEP)
+    out = mixed(left.astype(np.uint64) + _STEP + np.uint64(seed << 40))
     out = mixed(out ^ (eight[starts] & _MASKS[np.minimum(left, 8)]))
     more, k = np.flatnonzero(left > 8), 8
     while len(more):
@@ -119,6 +119,21 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
     return out
 
 
+def same_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether words, pair by pair, have the same bytes."""
+    one, two = (np.ndarray(len(x) + 1, "<u8", np.concatenate((x, np.zeros(8, np.uint8))), strides=(1,)) for x in (raw, other))
+    same, k = ends - starts == other_ends - other_starts, 0
+    more = np.flatnonzero(same & (ends > starts))
+    while len(more):
+        mask = _MASKS[np.minimum(ends[more] - starts[more] - k, 8)]
+        equal = (one[starts[more] + k] & mask) == (two[other_starts[more] + k] & mask)
+        same[more[~equal]] = False
+        k += 8
+        more = more[equal]
+        more = more[ends[more] - starts[more] > k]
+    return same
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit keys stirred (a public finaliser with two multiplications)."""
     x = x.astype(np.uint64, copy=True)

@@ -5,11 +5,18 @@ binary-searched in it. Suffixes are compared word by word up to the first word t
 suffix can agree any further; such a word ends a document's stretch just as the document's end does. So the array is
 exact for longest matches while words foreign to the tests are not sorted at all.
 
-Test items are a stated query set: they go to the tasks in blocks of bounded bytes, all blocks in one pass.
+The place of each test suffix in that order gives its longest verbatim match, and the windows that occur: a window's
+occurrences are one stretch of the order, looked up once for all items that share it, and stretches of different windows are
+disjoint. So work and memory follow the shard and the items also where words repeat without end. Words are confirmed on their
+bytes before they are numbered.
+
+Test items are a stated query set of a size that is read first: they go to the tasks in blocks of at most BLOCK_BYTES, one at
+a time. One block (the usual case) needs no shuffle; more are one pass each, whose hits meet by row.
 
 Defined cases: null and empty texts, and texts without words, have no words and no matches; repeated rows are judged
 each on its own; items without words match nothing; an item of fewer words than the window is one window; null ids are
-kept as they are; null item ids read as empty strings in digests; empty tables give empty results.
+kept as they are; null item ids read as empty strings in digests; empty tables give empty results; columns other than id,
+text and ``keep`` are not read, and a name in ``keep`` that is also an output is refused.
 """
 
 from __future__ import annotations
@@ -22,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import ALNUM, LOWER, bounded_batches, slices, text_bytes, word_hashes, word_spans
+from rallyframe.llm.common import ALNUM, LOWER, bounded_batches, refuse_clashes, same_words, slices, text_bytes, word_hashes, word_spans, written
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_item_word", "longest_word")
 
 
 class TestItems:
@@ -34,48 +42,73 @@ class TestItems:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-        raw = LOWER[raw]
-        starts, ends, first = word_spans(raw, offsets, ALNUM)
-        keys = word_hashes(raw, starts, ends)
-        self.vocabulary, number = np.unique(keys, return_inverse=True)
+        self.raw = LOWER[raw]
+        starts, ends, self.first = word_spans(self.raw, offsets, ALNUM)
+        for self.seed in itertools.count():  # a seed with which no two words of the items share a key
+            self.vocabulary, lead, number = np.unique(word_hashes(self.raw, starts, ends, seed=self.seed), return_index=True, return_inverse=True)
+            self.starts, self.ends = starts[lead], ends[lead]
+            if same_words(self.raw, starts, ends, self.raw, self.starts[number], self.ends[number]).all():
+                break
         self.words = number.astype(np.int64) + 1
-        self.first = first
         self.ids = [i for i, _ in items]
-        data = raw.tobytes()
-        self.texts = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start (in ``words``), length and item of every window."""
-        at, length, item = [], [], []
-        for i, (a, b) in enumerate(itertools.pairwise(self.first.tolist())):
-            n = b - a
-            if n:
-                w = min(n, size)
-                at += range(a, b - w + 1)
-                length += [w] * (n - w + 1)
-                item += [i] * (n - w + 1)
-        return np.array(at, np.int64), np.array(length, np.int64), np.array(item, np.int64)
+        self.bits, self.depth = packing(len(self.vocabulary))
+        # every suffix, and the suffixes in their order
+        self.start = np.arange(len(self.words))
+        self.item = np.searchsorted(self.first, self.start, "right") - 1
+        self.length = self.first[self.item + 1] - self.start
+        apart = np.zeros(len(self.words) + len(items), np.int64)
+        apart[self.start + self.item] = self.words
+        own = SuffixArray(apart, self.bits, self.depth)
+        self.packed = own.packed[self.start + self.item]
+        self.order = own.order - (np.searchsorted(self.first[:-1] + np.arange(len(items)), own.order, "right") - 1)
+        self._windows(window)
+
+    def _windows(self, size: int) -> None:
+        """Distinct windows: a place of each, its length, and the items that hold it (``holds``, cut at ``held``), with equal sets of
+        items numbered alike (``team``)."""
+        width = np.minimum(np.diff(self.first), size)[self.item]
+        at = np.flatnonzero(self.length >= width)
+        rows = np.zeros((len(at), size + 1), np.int64)
+        rows[:, size] = width[at]
+        for k in range(size):
+            inside = width[at] > k
+            rows[inside, k] = self.words[at[inside] + k]
+        _, lead, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        self.window, self.width = at[lead], width[at[lead]]
+        pairs = np.unique(which.reshape(-1) * (len(self.ids) + 1) + self.item[at])
+        which, item = pairs // (len(self.ids) + 1), pairs % (len(self.ids) + 1)
+        cut = np.searchsorted(which, np.arange(len(lead) + 1))
+        teams: dict[bytes, int] = {}
+        self.team = np.array([teams.setdefault(item[a:b].tobytes(), len(teams)) for a, b in itertools.pairwise(cut.tolist())], np.int64)
+        self.teams = [np.frombuffer(t, item.dtype) for t in teams]
+
+
+def packing(words: int) -> tuple[int, int]:
+    """Bits of a word number and how many of them fit into 62."""
+    bits = max(1, int(words).bit_length())
+    return bits, 62 // bits
 
 
 class SuffixArray:
     """Positions of a shard's words in the order of the suffixes that begin there, read up to the next 0."""
 
-    def __init__(self, words: np.ndarray, largest: int):
-        """``largest``: the largest word number. The first sort reads as many words as fit 62 bits, later ones double the depth
-        and touch only suffixes that still tie with another."""
-        self.words = np.concatenate((words, [0]))
+    def __init__(self, words: np.ndarray, bits: int, depth: int):
+        """The first sort reads ``depth`` words of ``bits`` bits each, later ones double the depth and touch only suffixes that
+        still tie with another."""
+        self.words, self.bits, self.depth = np.concatenate((words, [0])), bits, depth
         size = len(self.words)
         at = np.flatnonzero(words)
         where = np.where(self.words == 0, np.arange(size, dtype=np.int64), size)
         stop = np.minimum.accumulate(where[::-1])[::-1]
-        bits = max(1, int(largest).bit_length())
-        h = max(1, 62 // bits)
+        h = depth
         key, alive = words[at].copy(), np.ones(len(at), bool)
         for k in range(1, h):
             alive &= at + k < stop[at]
             key = (key << bits) | np.where(alive, self.words[np.minimum(at + k, size - 1)], 0)
+        self.packed = np.zeros(size, np.int64)
+        self.packed[at] = key
         sort = np.argsort(key)
         self.order = at[sort]
         rank = np.zeros(size, np.int64)
@@ -114,23 +147,29 @@ class SuffixArray:
         same = begin[1:] == begin[:-1]
         return np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
 
-    def compare(self, at: np.ndarray, test: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(self, at: np.ndarray, test: TestItems, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Common words of suffixes ``at`` with test stretches, and whether the suffix sorts before (stretch not exhausted)."""
         same, before = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-        live = np.arange(len(at))
-        k = 0
+        live, k = np.flatnonzero(length > 0), 0
         while len(live):
-            live = live[length[live] > k]
-            a = self.words[np.minimum(at[live] + k, len(self.words) - 1)]
-            b = test[start[live] + k]
+            left = np.minimum(length[live] - k, self.depth)
+            a = self.packed[np.minimum(at[live] + k, len(self.words) - 1)]
+            b = test.packed[start[live] + k]
+            over = (self.depth - left) * self.bits  # words behind the stretch do not count
+            a, b = a >> over, b >> over
             equal = a == b
-            before[live[~equal]] = (a < b)[~equal]
+            same[live[equal]] += left[equal]
+            apart = np.flatnonzero(~equal)
+            before[live[apart]] = a[apart] < b[apart]
+            differ, least = a[apart] ^ b[apart], left[apart]
+            for j in range(1, self.depth):  # words before the first that differs
+                same[live[apart]] += (j < least) & (differ >> np.maximum((least - j) * self.bits, 0) == 0)
+            k += self.depth
             live = live[equal]
-            same[live] += 1
-            k += 1
+            live = live[length[live] > k]
         return same, before
 
-    def search(self, test: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool = False) -> np.ndarray:
+    def search(self, test: TestItems, start: np.ndarray, length: np.ndarray, upper: bool = False) -> np.ndarray:
         """For each test stretch the first place in ``order`` not before it (``upper``: the first after all that begin with it)."""
         low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.order), np.int64)
         while (live := np.flatnonzero(low < high)).size:
@@ -142,134 +181,220 @@ class SuffixArray:
         return low
 
 
-def shard_words(raw: np.ndarray, offsets: np.ndarray, items: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of a shard with a 0 after each document; place of each document's first word; starts, ends; words of each."""
-    starts, ends, first = word_spans(raw, offsets, ALNUM)
-    keys = word_hashes(raw, starts, ends)
-    found = np.searchsorted(items.vocabulary, keys)
-    found[found == len(items.vocabulary)] = 0
-    number = np.where(items.vocabulary[found] == keys, found + 1, 0) if len(items.vocabulary) else np.zeros(len(keys), np.int64)
-    n = np.diff(first)
-    words = np.zeros(len(keys) + len(n), np.int64)
-    words[np.arange(len(keys)) + np.repeat(np.arange(len(n)), n)] = number
-    return words, first[:-1] + np.arange(len(n)), starts, ends, n
-
-
-def matches(raw: np.ndarray, offsets: np.ndarray, items: TestItems, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a shard: words of each document, then document, item, first word and length of each window's occurrence."""
-    words, base, starts, ends, n = shard_words(raw, offsets, items)
-    none = np.zeros(0, np.int64)
-    at, length, item = items.windows(window)
-    if not len(at) or not words.any():
-        return n, none, none, none, none
-    array = SuffixArray(words, len(items.vocabulary))
-    low = array.search(items.words, at, length)
-    hit = np.flatnonzero(low < len(array.order))
-    same, _ = array.compare(array.order[low[hit]], items.words, at[hit], length[hit])
-    hit = hit[same == length[hit]]
-    low, high = low[hit], array.search(items.words, at[hit], length[hit], upper=True)
-    count = high - low
-    which = np.repeat(hit, count)
-    place = array.order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-    doc = np.searchsorted(base, place, "right") - 1
-    first = place - base[doc]
-    # numbers stand for 64-bit hashes: confirm on the words themselves
-    data, sure = raw.tobytes(), np.ones(len(place), bool)
-    for j, (p, w) in enumerate(zip((place - doc).tolist(), which.tolist(), strict=True)):
-        a, k = int(at[w]), int(length[w])
-        sure[j] = all(data[starts[p + i] : ends[p + i]] == items.texts[a + i] for i in range(k))
-    return n, doc[sure], item[which][sure], first[sure], length[which][sure]
-
-
-def longest_matches(raw: np.ndarray, offsets: np.ndarray, items: TestItems) -> list[tuple[int, int, int, int, int]]:
-    """(item, word of the item, length, document, word of the document) of the longest match of every test suffix in a shard."""
-    words, base, *_ = shard_words(raw, offsets, items)
-    if not words.any():
-        return []
-    array = SuffixArray(words, len(items.vocabulary))
-    start = np.arange(len(items.words))
-    item = np.searchsorted(items.first, start, "right") - 1
-    length = items.first[item + 1] - start
-    low = array.search(items.words, start, length)
-    best, where = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    for side in (low - 1, low):
-        ok = np.flatnonzero((side >= 0) & (side < len(array.order)))
-        same, _ = array.compare(array.order[side[ok]], items.words, start[ok], length[ok])
-        better = same > best[ok]
-        best[ok[better]], where[ok[better]] = same[better], array.order[side[ok[better]]]
-    doc = np.searchsorted(base, where, "right") - 1
-    return [(int(item[i]), int(start[i] - items.first[item[i]]), int(best[i]), int(doc[i]), int(where[i] - base[doc[i]])) for i in np.flatnonzero(best)]
-
-
-def item_blocks(benchmark: DataFrame, text: str, id_col: str, most: int = BLOCK_BYTES) -> list[TestItems]:
-    """The test set in blocks of bounded size; its size is read before any of it is fetched."""
+class Shard:
+    """A shard's words as the items' numbers with a 0 after each document, its suffix array, and where the test suffixes lie in it.
+
+    ``n``: words of each document; ``base``: place of its first; ``low``: place of each test suffix in the array, and ``longest``
+    and ``where`` its longest match.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, items: TestItems):
+        self.items = items
+        starts, ends, first = word_spans(raw, offsets, ALNUM)
+        self.n = np.diff(first)
+        self.base = first[:-1] + np.arange(len(self.n))
+        words = np.zeros(len(starts) + len(self.n), np.int64)
+        if len(items.vocabulary):
+            keys = word_hashes(raw, starts, ends, seed=items.seed)
+            found = np.searchsorted(items.vocabulary, keys)
+            found[found == len(items.vocabulary)] = 0
+            known = np.flatnonzero(items.vocabulary[found] == keys)
+            found = found[known]
+            sure = same_words(raw, starts[known], ends[known], items.raw, items.starts[found], items.ends[found])
+            doc = np.repeat(np.arange(len(self.n)), self.n)
+            words[known[sure] + doc[known[sure]]] = found[sure] + 1
+        self.some = bool(words.any())
+        if not self.some:
+            return
+        self.array = SuffixArray(words, items.bits, items.depth)
+        # suffixes in their order: neighbouring searches read neighbouring places
+        self.low = np.zeros(len(items.words), np.int64)
+        self.low[items.order] = self.array.search(items, items.order, items.length[items.order])
+        self.longest, self.where = np.zeros(len(self.low), np.int64), np.zeros(len(self.low), np.int64)
+        for side in (self.low - 1, self.low):
+            ok = np.flatnonzero((side >= 0) & (side < len(self.array.order)))
+            same, _ = self.array.compare(self.array.order[side[ok]], items, items.start[ok], items.length[ok])
+            better = same > self.longest[ok]
+            self.longest[ok[better]], self.where[ok[better]] = same[better], self.array.order[side[ok[better]]]
+
+    def document(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, place, "right") - 1
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Window and place of every occurrence of a window whose suffix has a match that long."""
+        items = self.items
+        which = np.flatnonzero(self.longest[items.window] >= items.width) if self.some else np.zeros(0, np.int64)
+        start, width = items.window[which], items.width[which]
+        low, high = (self.array.search(items, start, width, upper) for upper in (False, True)) if len(which) else (which, which)
+        count = high - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.repeat(which, count), self.array.order[at] if len(which) else at
+
+    def longest_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the longest match of the suffixes at some places with any test suffix, and that suffix.
+
+        In the common order of all suffixes it is one of the two test suffixes next to the place.
+        """
+        items = self.items
+        rank = np.zeros(len(self.array.words), np.int64)
+        rank[self.array.order] = np.arange(len(self.array.order))
+        after = np.searchsorted(self.low[items.order], rank[place], "right")
+        best, which = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for side in (after - 1, after):
+            ok = np.flatnonzero((side >= 0) & (side < len(items.order)))
+            test = items.order[side[ok]]
+            same, _ = self.array.compare(place[ok], items, test, items.length[test])
+            better = same > best[ok]
+            best[ok[better]], which[ok[better]] = same[better], test[better]
+        return best, which
+
+    def hits(self) -> dict[int, tuple[np.ndarray, list[str], tuple[int, str, int, int]]]:
+        """Of each document with an occurring window: runs of hit words (begin, end, begin, ...), ids of the items, longest match."""
+        which, place = self.windows()
+        if not len(place):
+            return {}
+        items, doc = self.items, self.document(place)
+        edge = np.zeros(len(self.array.words) + 1, np.int64)
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + items.width[which], -1)
+        inside = np.concatenate(([False], np.cumsum(edge)[:-1] > 0, [False]))
+        flips = np.flatnonzero(inside[1:] != inside[:-1])
+        owner = self.document(flips[::2])
+        runs = (flips.reshape(-1, 2) - self.base[owner][:, None]).reshape(-1)
+        team = np.unique(np.stack((doc, items.team[which])), axis=1)
+        first = np.unique(place)
+        best, test = self.longest_at(first)
+        of = self.document(first)
+        order = np.lexsort((first, -best, of))
+        lead = order[np.concatenate(([True], of[order][1:] != of[order][:-1]))]
+        found = {}
+        cut, at = np.searchsorted(owner, of[lead]), np.searchsorted(owner, of[lead], "right")
+        begin, end = np.searchsorted(team[0], of[lead]), np.searchsorted(team[0], of[lead], "right")
+        for i, j in enumerate(lead.tolist()):
+            t = int(test[j])
+            ids = {items.ids[x] for k in team[1, begin[i] : end[i]] for x in items.teams[k]}
+            found[int(of[j])] = runs[2 * cut[i] : 2 * at[i]], sorted(ids), (int(best[j]), items.ids[items.item[t]], t - int(items.first[items.item[t]]), int(first[j] - self.base[of[j]]))
+        return found
+
+
+def item_blocks(benchmark: DataFrame, text: str, id_col: str, most: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The test set (i, t) in blocks of about ``most`` bytes; its size is read before any of it is fetched."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     k = size // most + 1
-    blocks = []
-    for j in range(k):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == j) if k > 1 else rows
-        blocks.append(TestItems(sorted((r.i, r.t) for r in part.collect())))
-    return blocks
+    return [rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == j) for j in range(k)] if k > 1 else [rows]
+
+
+def fetched(block: DataFrame, window: int) -> TestItems:
+    return TestItems(sorted((r.i, r.t) for r in block.collect()), window)
+
+
+def verdict(n: int, found: list[tuple]) -> tuple:
+    """The computed columns of a document of n words from its hits in each block of items."""
+    if not found:
+        return n, 0, 0, hashlib.sha256(b"").hexdigest(), False, 0, None, None, None
+    n_hit, upto = 0, 0
+    for a, b in sorted((int(r[i]), int(r[i + 1])) for r, *_ in found for i in range(0, len(r), 2)):
+        n_hit += max(0, b - max(a, upto))
+        upto = max(upto, b)
+    ids = sorted({i for _, x, _ in found for i in x})
+    best = min((x for *_, x in found), key=lambda x: (-x[0], x[3], x[1], x[2]))
+    return n, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), 20 * n_hit >= n, *best
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), item_text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """One row a document: id, ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest run of hits).
+    """One row a document: id, ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_item, longest_item_word, longest_word.
 
     Hit is every word inside an occurrence of a window (``window`` consecutive words of an item, or a whole shorter item);
-    contaminated means at least one hit and hits making up a twentieth of the words or more.
+    contaminated means at least one hit and hits making up a twentieth of the words or more. ``longest``: words of the longest
+    verbatim match with one item that begins where a window occurs (0: no window), the item, its word and the document's word there.
     """
-    bounded_batches(docs.sparkSession)
+    names = list(dict.fromkeys([id_col, *keep]))
+    refuse_clashes((id_col, *keep), OUTPUTS)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = item_blocks(benchmark, item_text, item_id)
-    send = docs.sparkSession.sparkContext.broadcast(blocks)
-    names = list(dict.fromkeys([id_col, *keep, text]))
-    out = [c for c in names if c in (id_col, *keep)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out), "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint"])
-
-    def judged(b: pa.RecordBatch, tests: list[TestItems]) -> pa.RecordBatch:
-        raw, offsets = text_bytes(b.column(text))
-        raw = LOWER[raw]
-        n_docs = b.num_rows
-        found = [matches(raw, offsets, t, window) for t in tests]
-        n = found[0][0]
-        base = np.concatenate(([0], np.cumsum(n)))
-        edge = np.zeros(int(base[-1]) + 1, np.int64)
-        ids: list[set[str]] = [set() for _ in range(n_docs)]
-        for (_, doc, item, first, length), t in zip(found, tests, strict=True):
-            np.add.at(edge, base[doc] + first, 1)
-            np.add.at(edge, base[doc] + first + length, -1)
-            for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
-                ids[d].add(t.ids[i])
-        hit = np.cumsum(edge)[:-1] > 0
-        n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[base])
-        longest = [max((len(list(g)) for v, g in itertools.groupby(hit[base[d] : base[d + 1]].tolist()) if v), default=0) if n_hit[d] else 0 for d in range(n_docs)]
-        sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]
-        columns = [pa.array(n), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n)), pa.array(longest, pa.int64())]
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in out), *columns], [*out, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
-
-    def run(batches):
-        tests = send.value
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)])
+    computed = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, longest_item string, longest_item_word bigint, longest_word bigint"
+    held = [f"_held_{i}" for i in range(len(names))]
+    rows = docs.select(*(F.col(c).alias(h) for c, h in zip(names, held, strict=True)), F.col(text).alias("_text"))
+    if len(blocks) == 1:
+        send = spark.sparkContext.broadcast(fetched(blocks[0], window))
+
+        def run(batches):
+            for whole in batches:
+                for b in slices(whole, "_text", SHARD_BYTES):
+                    raw, offsets = text_bytes(b.column("_text"))
+                    shard = Shard(LOWER[raw], offsets, send.value)
+                    hits = shard.hits()
+                    out = [verdict(int(n), [hits[d]] if d in hits else []) for d, n in enumerate(shard.n)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(h) for h in held), *_columns(out)], [*names, *OUTPUTS])
+
+        return rows.mapInArrow(run, f"{kinds}, {computed}")
+
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "contamination-rows")
+    parts = []
+    for block in blocks:
+        send = spark.sparkContext.broadcast(fetched(block, window))
+
+        def found(batches, send=send):
+            for whole in batches:
+                for b in slices(whole, "_text", SHARD_BYTES):
+                    raw, offsets = text_bytes(b.column("_text"))
+                    hits = Shard(LOWER[raw], offsets, send.value).hits()
+                    row = b.column("_row").to_numpy()
+                    yield pa.RecordBatch.from_pylist([{"_row": int(row[d]), "runs": r.tolist(), "ids": ids, "best": dict(zip("nipw", best, strict=True))} for d, (r, ids, best) in hits.items()], FOUND)
+
+        parts.append(written(rows.select("_row", "_text").mapInArrow(found, "_row bigint, runs array<bigint>, ids array<string>, best struct<n:bigint,i:string,p:bigint,w:bigint>"), "contamination-hits"))
+        send.unpersist()
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    gathered = hits.groupBy("_row").agg(F.collect_list(F.struct("runs", "ids", "best")).alias("_hits"))  # one entry a block at most
+
+    def judged(batches):
         for whole in batches:
-            for b in slices(whole, text, SHARD_BYTES):
-                yield judged(b, tests)
+            for b in slices(whole, "_text", SHARD_BYTES):
+                n = np.diff(word_spans(*text_bytes(b.column("_text")), ALNUM)[2])
+                out = [verdict(int(k), [(x["runs"], x["ids"], tuple(x["best"].values())) for x in found or []]) for k, found in zip(n, b.column("_hits").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(h) for h in held), *_columns(out)], [*names, *OUTPUTS])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return rows.join(gathered, "_row", "left").select(*held, "_text", "_hits").mapInArrow(judged, f"{kinds}, {computed}")
+
+
+FOUND = pa.schema([("_row", pa.int64()), ("runs", pa.list_(pa.int64())), ("ids", pa.list_(pa.string())), ("best", pa.struct([("n", pa.int64()), ("i", pa.string()), ("p", pa.int64()), ("w", pa.int64())]))])
 
 
 def match_locations(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: int = WINDOW) -> DataFrame:
     """(item_id, item_word, n_words, id, word): longest verbatim match of each test suffix over all shards, from ``least`` words on."""
-    bounded_batches(docs.sparkSession)
-    send = docs.sparkSession.sparkContext.broadcast(item_blocks(benchmark, item_text, item_id))
+    spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, text, SHARD_BYTES):
-                raw, offsets = text_bytes(b.column(text))
-                for t in send.value:
-                    rows = [r for r in longest_matches(LOWER[raw], offsets, t) if r[2] >= least]
-                    docs_at = pa.array([r[3] for r in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([t.ids[r[0]] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), b.column(id_col).take(docs_at), pa.array([r[4] for r in rows], pa.int64())], ["item_id", "item_word", "n_words", id_col, "word"])
-
-    found = docs.select(id_col, text).mapInArrow(run, f"item_id string, item_word bigint, n_words bigint, `{id_col}` {kind}, word bigint")
-    return found.groupBy("item_id", "item_word").agg(F.max(F.struct("n_words", (-F.col("word")).alias("back"), id_col)).alias("best")).select("item_id", "item_word", "best.n_words", f"best.{id_col}", (-F.col("best.back")).alias("word"))
+    parts = []
+    for block in item_blocks(benchmark, item_text, item_id):
+        send = spark.sparkContext.broadcast(fetched(block, WINDOW))
+
+        def run(batches, send=send):
+            items = send.value
+            for whole in batches:
+                for b in slices(whole, "_text", SHARD_BYTES):
+                    raw, offsets = text_bytes(b.column("_text"))
+                    shard = Shard(LOWER[raw], offsets, items)
+                    if not shard.some:
+                        continue
+                    s = np.flatnonzero(shard.longest >= max(least, 1))
+                    doc = shard.document(shard.where[s])
+                    yield pa.RecordBatch.from_arrays([pa.array([items.ids[i] for i in items.item[s]], pa.string()), pa.array(s - items.first[items.item[s]]), pa.array(shard.longest[s]), b.column("_id").take(pa.array(doc)), pa.array(shard.where[s] - shard.base[doc])], ["item_id", "item_word", "n_words", id_col, "word"])
+
+        found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"item_id string, item_word bigint, n_words bigint, `{id_col}` {kind}, word bigint")
+        parts.append(found.groupBy("item_id", "item_word").agg(F.max(F.struct("n_words", (-F.col("word")).alias("back"), id_col)).alias("best")))
+    best = parts[0]
+    for p in parts[1:]:
+        best = best.unionByName(p)
+    best = best.groupBy("item_id", "item_word").agg(F.max("best").alias("best"))
+    return best.select("item_id", "item_word", "best.n_words", f"best.{id_col}", (-F.col("best.back")).alias("word"))

@@ -71,7 +71,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_item_word", "longest_word")
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from fixtures import documents, empty, words
 
 from rallyframe.llm import decontaminate
@@ -38,17 +40,72 @@ def setup(spark):
 
 def test_against_brute_force(spark):
     docs, rows, items, bench = setup(spark)
-    got = decontaminate.contamination(docs, bench).drop("longest").collect()
-    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted((str(r[0]), *judge(r[1], items)) for r in rows)
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:6]) for r in got) == sorted((str(r[0]), *judge(r[1], items)) for r in rows)
+    by_id = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert (r.longest > 0) == (r.n_hit > 0)
+        if r.longest and [x[0] for x in rows].count(r.doc_id) == 1:
+            w, i = split(by_id[r.doc_id]), split(dict((str(k), t) for k, t in items)[r.longest_item])
+            assert r.longest == max(common(w[a:], split(t)[b:]) for a in range(len(w)) for _, t in items for b in range(len(split(t))))
+            assert w[r.longest_word :][: r.longest] == i[r.longest_item_word :][: r.longest]
+
+
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
 
 
 def test_blocks_of_items_agree(spark, monkeypatch):
     docs, rows, items, bench = setup(spark)
-    blocks = decontaminate.item_blocks(bench, "text", "item_id", 200)
-    assert len(blocks) > 2
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda *a, **k: blocks)
-    got = decontaminate.contamination(docs, bench).drop("longest").collect()
-    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted((str(r[0]), *judge(r[1], items)) for r in rows)
+    whole = {(str(r.doc_id), *tuple(r)[1:7]) for r in decontaminate.contamination(docs, bench).collect()}
+    cut = decontaminate.item_blocks
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, t, i: cut(b, t, i, 200))
+    assert len(decontaminate.item_blocks(bench, "text", "item_id")) > 2
+    got = decontaminate.contamination(docs, bench, keep=("lang",)).drop("lang").collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:6]) for r in got) == sorted((str(r[0]), *judge(r[1], items)) for r in rows)
+    assert {(str(r.doc_id), *tuple(r)[1:7]) for r in got} == whole
+    located = {(r.item_id, r.item_word, r.n_words) for r in decontaminate.match_locations(docs, bench, least=1).collect()}
+    monkeypatch.setattr(decontaminate, "item_blocks", cut)
+    assert located == {(r.item_id, r.item_word, r.n_words) for r in decontaminate.match_locations(docs, bench, least=1).collect()}
+
+
+@pytest.mark.parametrize("cycle", [1, 2, 7])
+def test_words_that_repeat_without_end(cycle):
+    import time
+
+    item, text = (" ".join(f"w{i % cycle}" for i in range(n)) for n in (1000, 5000))
+    items = decontaminate.TestItems([("a", item), ("b", item), ("c", "w0")])
+    raw = np.frombuffer(f"{text} other {text}".encode(), np.uint8)
+    began = time.perf_counter()
+    shard = decontaminate.Shard(raw, np.array([0, len(raw)]), items)
+    (runs, ids, best), = shard.hits().values()
+    assert time.perf_counter() - began < 1
+    assert runs.tolist() == [0, 5000, 5001, 10001] and ids == ["a", "b", "c"] and best[0] == 1000
+
+
+def test_random_repeats_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        vocabulary = [f"v{i}" for i in range(rng.choice([1, 2, 3, 40]))]
+        items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.randrange(0, 40)))) for i in range(rng.randrange(0, 6))]
+        texts = [" ".join(rng.choices([*vocabulary, "zz"], k=rng.randrange(0, 70))) for _ in range(4)]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        shard = decontaminate.Shard(raw, np.cumsum([0, *map(len, texts)]), decontaminate.TestItems(items))
+        hits = shard.hits() if shard.some else {}
+        for d, t in enumerate(texts):
+            assert decontaminate.verdict(int(shard.n[d]), [hits[d]] if d in hits else [])[:5] == judge(t, items)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id bigint, text string, _text int, item_id int")
+    bench = spark.createDataFrame([(1, "b", "x")], "item_id bigint, text string, doc_id string")
+    r = decontaminate.contamination(docs, bench, keep=("_text", "item_id", "text")).first()
+    assert (r.doc_id, r._text, r.item_id, r.text, r.n_hit) == (1, 5, 6, "a b", 1)
+    with pytest.raises(ValueError, match="longest"):
+        decontaminate.contamination(docs.withColumn("longest", docs._text), bench, keep=("longest",))
 
 
 def test_longest_matches(spark):
