@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.llm.columns import given, up_to
+
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -35,11 +37,6 @@ BLOCK = 128
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _given(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _blocks(items: Column) -> Column:
     """A non-empty array in pieces of BLOCK members."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda j: F.slice(items, j * BLOCK + 1, F.lit(BLOCK)))
@@ -68,7 +65,7 @@ def spans_of(text: Column, pattern: str, kind: str, rank: int) -> Column:
         sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, p: a + p["g"] + p["n"]))
         return F.flatten(F.zip_with(blocks, _before(sums, 0, lambda at, n: at + n), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])))
 
-    return F.when(text.rlike(pattern), _given(pairs, lambda p: _given(_blocks(p), walked))).otherwise(none)
+    return F.when(text.rlike(pattern), given(pairs, lambda p: given(_blocks(p), walked))).otherwise(none)
 
 
 def _kept_assign(text: Column) -> Column:
@@ -84,19 +81,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _up_to(values: Column, most: Column) -> Column:
-    """How many members of a sorted array are ``most`` at the most, by binary search."""
-    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
-
-    def halve(acc, _):
-        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        open_, right = acc["low"] < acc["high"], F.get(values, mid) <= most
-        return F.struct(F.when(open_ & right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~right, mid).otherwise(acc["high"]).alias("high"))
-
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1.0)).cast("int") + 1)
-    return F.aggregate(rounds, start, halve, lambda acc: acc["low"])
-
-
 def _sorted(spans: Column, end: str) -> Column:
     return F.sort_array(F.transform(spans, lambda s: s[end]))
 
@@ -105,16 +89,16 @@ def _near(spans: Column, others: Column, scope: int) -> Column:
     """The spans with another one of ``others``, not overlapping, at most ``scope`` code points away."""
 
     def kept(starts, ends):
-        back = lambda s: s["start"] - F.get(ends, _up_to(ends, s["start"]) - 1)
-        ahead = lambda s: F.get(starts, _up_to(starts, s["end"] - 1)) - s["end"]
+        back = lambda s: s["start"] - F.get(ends, up_to(ends, s["start"]) - 1)
+        ahead = lambda s: F.get(starts, up_to(starts, s["end"] - 1)) - s["end"]
         return F.filter(spans, lambda s: F.coalesce(back(s) <= scope, F.lit(False)) | F.coalesce(ahead(s) <= scope, F.lit(False)))
 
-    return _given(_sorted(others, "start"), lambda starts: _given(_sorted(others, "end"), lambda ends: kept(starts, ends)))
+    return given(_sorted(others, "start"), lambda starts: given(_sorted(others, "end"), lambda ends: kept(starts, ends)))
 
 
 def _apart(spans: Column, others: Column) -> Column:
     """The spans that overlap none of ``others``: as many of these begin before a span's end as end before its start."""
-    return _given(_sorted(others, "start"), lambda starts: _given(_sorted(others, "end"), lambda ends: F.filter(spans, lambda s: _up_to(starts, s["end"] - 1) == _up_to(ends, s["start"]))))
+    return given(_sorted(others, "start"), lambda starts: given(_sorted(others, "end"), lambda ends: F.filter(spans, lambda s: up_to(starts, s["end"] - 1) == up_to(ends, s["start"]))))
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), scope: int = SCOPE) -> DataFrame:
@@ -158,11 +142,11 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
             return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
 
         start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
-        return _given(F.substring(text, at + 1, last - at), lambda piece: F.aggregate(block, start, lambda acc, s: step(acc, s, piece), lambda acc: F.array_join(acc["out"], "")))
+        return given(F.substring(text, at + 1, last - at), lambda piece: F.aggregate(block, start, lambda acc, s: step(acc, s, piece), lambda acc: F.array_join(acc["out"], "")))
 
     def whole(blocks):
         ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, s: F.greatest(a, s["end"])))
         done = F.zip_with(blocks, _before(ends, 0, lambda at, e: F.greatest(at, e)), blotted)
         return F.concat(F.array_join(done, ""), F.substring(text, F.array_max(ends) + 1, F.char_length(text)))
 
-    return F.when(F.size(spans) > 0, _given(_blocks(spans), whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, given(_blocks(spans), whole)).otherwise(text)

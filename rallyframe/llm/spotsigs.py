@@ -1,16 +1,17 @@
 """SpotSigs document fingerprints: chains of content words that follow common-word anchors.
 
-A signature is an anchor and the next two content words. Anchors are common words of four languages and, so that other
-languages and tables have some too, each word whose hash is divisible by 8; content words are all but the common ones.
-A document's fingerprint is its set of 32-bit signature hashes, sorted. A document with words but no chain has one
-signature, of its whole word sequence. Likeness is the Jaccard coefficient; two empty fingerprints are alike (1.0).
+A signature is an anchor and the next two content words. Anchors are common words of four languages; content words are all
+others. A document's fingerprint is its set of 32-bit signature hashes, sorted. In a document without a chain (other
+languages, tables) every word is an anchor; one with words but without a chain even so has one signature, of its whole word
+sequence. Likeness is the Jaccard coefficient; two empty fingerprints are alike (1.0).
 
 Comparison: ``jaccard`` counts common members of many pairs of sets at once and skips pairs whose set lengths alone rule
 the threshold out. ``near_pairs`` joins a whole table: sets are filed by length partition and by the signatures in their
 prefix, so only sets of lengths that can reach the threshold and that share a prefix signature are compared.
 
-Defined cases: null reads as empty; equal texts have equal fingerprints; repeated and null ids are kept, each row its own
-document, rows of null id after all others and ties in the order of their texts; other columns are not read.
+Defined cases: null reads as empty; equal texts have equal fingerprints; ids are whole numbers (others are refused); repeated
+and null ids are kept, each row its own document, rows of null id after all others and ties in the order of their texts'
+hashes; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import ALNUM, LOWER, SLICE_BYTES, bounded_batches, mixed, text_bytes, word_hashes, word_spans
+from rallyframe.llm.columns import up_to
+from rallyframe.llm.common import ALNUM, LOWER, SLICE_BYTES, bounded_batches, mixed, text_bytes, word_hashes, word_spans, written
 
 # Common words of English, French, German and Spanish.
 COMMON = {
@@ -33,7 +35,8 @@ COMMON = {
     "es": "a al como con de del el en es esta ha la las lo los más no o para pero por que se ser su sus un una y".split(),
 }
 CHAIN = 2
-EVERY = 8
+#: Of a range of ids, and of what a task reads of them.
+BUCKET_BYTES, TASK_BYTES, MOST_BUCKETS = 2 << 20, 64 << 20, 100_000
 
 
 def _hashes_of(words: list[str]) -> np.ndarray:
@@ -57,18 +60,26 @@ def signature_keys(texts: pa.Array) -> np.ndarray:
     at = np.searchsorted(_COMMON, h)
     at[at == len(_COMMON)] = 0
     common = _COMMON[at] == h
-    content = np.flatnonzero(~common)
-    anchor = np.flatnonzero(common | (h % np.uint64(EVERY) == 0))
-    follow = np.cumsum(~common)[anchor]  # place in ``content`` of the first content word after the anchor
-    whole = follow + CHAIN - 1 < len(content)
-    anchor, follow = anchor[whole], follow[whole]
-    whole = content[follow + CHAIN - 1] < first[1:][row[anchor]]
-    anchor, follow = anchor[whole], follow[whole]
-    sig = h[anchor]
-    for k in range(CHAIN):
-        sig = mixed(sig ^ h[content[follow + k]])
-    rows = row[anchor]
-    bare = np.setdiff1d(np.flatnonzero(n), rows)
+    content, behind = np.flatnonzero(~common), np.cumsum(~common)
+
+    def chains(anchor):
+        follow = behind[anchor]  # place in ``content`` of the first content word after the anchor
+        whole = follow + CHAIN - 1 < len(content)
+        anchor, follow = anchor[whole], follow[whole]
+        whole = content[follow + CHAIN - 1] < first[1:][row[anchor]]
+        anchor, follow = anchor[whole], follow[whole]
+        sig = h[anchor]
+        for k in range(CHAIN):
+            sig = mixed(sig ^ h[content[follow + k]])
+        return sig, row[anchor]
+
+    sig, rows = chains(np.flatnonzero(common))
+    without = n > 0
+    without[rows] = False
+    more, more_rows = chains(np.flatnonzero(without[row]))
+    sig, rows = np.concatenate((sig, more)), np.concatenate((rows, more_rows))
+    without[more_rows] = False
+    bare = np.flatnonzero(without)
     if len(bare):
         order = mixed(np.arange(len(h), dtype=np.uint64) - first[:-1][row].astype(np.uint64) ^ h)
         total = np.add.reduceat(order, first[:-1][n > 0])
@@ -103,36 +114,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _order(id_col: str) -> Column:
-    """Descending ids, null last, ties by text."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.bitwise_not(F.coalesce(F.col(id_col), F.lit(0))).alias("down"), F.col("_text").alias("text"))
+def _longs(values: list[int]) -> Column:
+    """A constant array; read from one text, since thousands of single constants make a slow plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def fingerprint_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = 8 << 20, most_buckets: int = 20_000) -> DataFrame:
+def _ranges(rows: DataFrame, bucket_bytes: int, most_buckets: int) -> tuple[DataFrame, int]:
+    """Rows with _bucket, which rises with the order of rows, and the table's bytes.
+
+    Ids are cut at approximate quantiles. An id that fills ranges of its own, and null ids, are cut by the hash of their texts.
+    """
+    size = rows.agg(F.sum(F.octet_length("_text")).alias("all"), F.sum(F.when(F.col("_id").isNull(), F.octet_length("_text"))).alias("none")).first()
+    total = size["all"] or 0
+    k = int(min(most_buckets, total // bucket_bytes + 1))
+    cuts = rows.agg(F.percentile_approx("_id", [(i + 1) / k for i in range(k - 1)], max(10_000, 4 * k)).alias("c")).first().c if k > 1 else None
+    distinct, times = np.unique(np.array(cuts or [0], np.int64), return_counts=True)
+    share = F.shiftright("_h", 32)  # 31 bits
+    for_none = F.shiftright(share * F.lit(int(min(most_buckets, (size["none"] or 0) // bucket_bytes + 1))), 31)
+    at = up_to(_longs(distinct.tolist()), F.col("_id"))
+    hot = F.get(_longs(distinct.tolist()), at - 1) == F.col("_id")
+    inside = F.when(hot, 1 + F.shiftright(share * F.get(_longs(times.tolist()), at - 1), 31)).otherwise(0)
+    step = 2 * most_buckets
+    bucket = F.when(F.col("_id").isNull(), (len(distinct) + 1) * step + for_none).otherwise((len(distinct) - at) * step + inside)
+    return rows.withColumn("_bucket", bucket.cast("long")), total
+
+
+def fingerprint_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness, and the likeness to the next document.
 
     The next document is the next smaller id (after the last: the first). Ids are cut into ranges of similar size; each
     range also receives the one document that follows it, so a range is read in order by one task and every document
     crosses the network once.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    k = int(min(most_buckets, total // bucket_bytes + 1))
-    cuts = rows.agg(F.percentile_approx("_id", [(i + 1) / k for i in range(k - 1)], max(10_000, 4 * k)).alias("c")).first().c if k > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    bucket = F.lit(0) if bounds is None else F.when(F.col("_id").isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("_id"))))
-    rows = rows.withColumn("_bucket", bucket.cast("int"))
-    # the first document of each range follows the last of the range before
-    heads = rows.groupBy("_bucket").agg(F.min(_order("_id")).alias("o"))
-    heads = heads.select("_bucket", F.when(~F.col("o.none"), F.bitwise_not("o.down")).alias("_id"), F.col("o.text").alias("_text")).toArrow().to_pylist()
-    heads.sort(key=lambda r: r["_bucket"])
-    tails = [(before["_bucket"], 1, r["_id"], r["_text"]) for before, r in zip(heads, [*heads[1:], *heads[:1]], strict=True)]
-    tail_rows = docs.sparkSession.createDataFrame(tails, "_bucket int, _role int, _id bigint, _text string")
-    parts = rows.select("_bucket", F.lit(0).alias("_role"), "_id", "_text").unionByName(tail_rows)
-    parts = parts.repartition("_bucket").sortWithinPartitions("_bucket", "_role", F.col("_id").desc_nulls_last(), "_text")
-    return parts.mapInArrow(_pairs_in_order, f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures bigint")
+    spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} is not a whole number")
+    bounded_batches(spark)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole.alias("_text"), F.shiftrightunsigned(F.xxhash64(whole), 1).alias("_h"))
+    rows, total = _ranges(rows, bucket_bytes, most_buckets)
+    # the first document of each range follows the last of the range before; only the ranges' numbers reach the driver
+    order = F.struct(F.col("_id").isNull().alias("none"), F.bitwise_not(F.coalesce("_id", F.lit(0))).alias("down"), F.col("_h").alias("h"), F.col("_text").alias("text"))
+    heads = written(rows.groupBy("_bucket").agg(F.min(order).alias("o")), "spotsigs-heads")
+    numbers = sorted(r._bucket for r in heads.select("_bucket").collect())
+    before = spark.createDataFrame(list(zip(numbers, [*numbers[-1:], *numbers[:-1]], strict=True)), "_bucket long, _before long")
+    tails = heads.join(F.broadcast(before), "_bucket").select(F.col("_before").alias("_bucket"), F.lit(1).alias("_role"), F.when(~F.col("o.none"), F.bitwise_not("o.down")).alias("_id"), F.col("o.h").alias("_h"), F.col("o.text").alias("_text"))
+    parts = rows.select("_bucket", F.lit(0).alias("_role"), "_id", "_h", "_text").unionByName(tails)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+    parts = parts.repartition(tasks, "_bucket").sortWithinPartitions("_bucket", "_role", F.col("_id").desc_nulls_last(), "_h", "_text").drop("_h")
+    names = [id_col, *COMPUTED]
+
+    def run(batches):
+        for columns in _pairs_in_order(batches):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return parts.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures bigint")
+
+
+COMPUTED = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures")
 
 
 def _pairs_in_order(batches):
@@ -151,7 +190,7 @@ def _pairs_in_order(batches):
                 yield _compared(part)
 
 
-def _compared(part: pa.Table) -> pa.RecordBatch:
+def _compared(part: pa.Table) -> list[pa.Array]:
     """All rows but the last and the end marks of ranges, each compared with the row after it."""
     texts = part.column("_text").to_pylist()
     own = np.flatnonzero(part.column("_role").to_numpy()[:-1] == 0)
@@ -170,19 +209,16 @@ def _compared(part: pa.Table) -> pa.RecordBatch:
         return (to[ok].astype(np.uint64) << np.uint64(32)) | (keys[ok] & low)
 
     mine, following = renumbered(0), renumbered(1)
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("_id").combine_chunks().take(pa.array(own)),
-            pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed], pa.string()),
-            pa.array(fingerprint_strings(mine, len(own)), pa.string()),
-            pa.array(fingerprint_strings(new, len(own)), pa.string()),
-            pa.array(jaccard(mine, new, len(own))),
-            pa.array(jaccard(mine, following, len(own))),
-            pa.array(np.bincount((mine >> np.uint64(32)).astype(np.int64), minlength=len(own))[: len(own)].astype(np.int64)),
-        ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"],
-    )
+    return [
+        part.column("_id").combine_chunks().take(pa.array(own)),
+        pa.array([len(texts[i]) for i in own.tolist()], pa.int64()),
+        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed], pa.string()),
+        pa.array(fingerprint_strings(mine, len(own)), pa.string()),
+        pa.array(fingerprint_strings(new, len(own)), pa.string()),
+        pa.array(jaccard(mine, new, len(own))),
+        pa.array(jaccard(mine, following, len(own))),
+        pa.array(np.bincount((mine >> np.uint64(32)).astype(np.int64), minlength=len(own))[: len(own)].astype(np.int64)),
+    ]
 
 
 def signature_sets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

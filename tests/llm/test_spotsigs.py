@@ -1,8 +1,12 @@
 import hashlib
 import itertools
+import random
 
 import pyarrow as pa
-from fixtures import documents, empty
+import pytest
+import xxhash
+from fixtures import documents, empty, words
+from pyspark.sql import functions as F
 
 from rallyframe.llm import spotsigs
 
@@ -20,7 +24,7 @@ def likeness(a, b):
 
 
 def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 1))
     out = []
     for r, nxt in zip(order, order[1:] + order[:1], strict=True):
         t, n = r[1] or "", nxt[1] or ""
@@ -48,9 +52,24 @@ def test_single_and_empty_tables(spark):
     assert spotsigs.fingerprint_with_next(empty(spark)).count() == 0
 
 
+def test_hot_and_null_ids_are_cut(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 30)) for i in range(60)] + [(30, words(rng, 30)) for _ in range(80)] + [(None, words(rng, 30)) for _ in range(80)] + [(-9, "the same text of all")] * 30
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, _bucket int, _h int")
+    compare(spotsigs.fingerprint_with_next(docs, bucket_bytes=600), rows)
+    named = docs.select(F.col("doc_id").cast("int").alias("key"), F.col("text").alias("body"))
+    assert spotsigs.fingerprint_with_next(named, "body", "key").columns[0] == "key"
+    ranges, _ = spotsigs._ranges(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("_h")), 600, 1000)
+    spread = {r._id: r.n for r in ranges.groupBy("_id").agg(F.countDistinct("_bucket").alias("n")).collect()}
+    assert spread[30] > 8 and spread[None] > 8 and spread[5] == 1
+    with pytest.raises(ValueError, match="whole number"):
+        spotsigs.fingerprint_with_next(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_signatures_follow_anchors_by_hand():
-    a, b, c = sets(["the alpha of beta gamma", "the alpha of beta gamma delta", "zz"])
-    assert len(a) >= 2 and a <= b and len(c) == 1
+    a, b, c, d = sets(["the alpha of beta gamma", "the alpha of beta gamma delta", "zz", "alpha beta gamma delta"])
+    assert len(a) == 2 and a == b and len(c) == 1 and len(d) == 2
     assert sets(["zz"]) == sets(["ZZ"]) and sets([""]) == [set()]
 
 
