@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,12 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end: what is to stay must be written with ``stays`` and be complete by then."""
+    _SCRATCH.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _SCRATCH.pop())
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark) if stays or not _SCRATCH else _SCRATCH[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def refuse_clashes(inputs: tuple[str, ...], outputs: tuple[str, ...]) -> None:

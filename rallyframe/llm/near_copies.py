@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of 5-word shingles: MinHash bands propose, the shingle sets decide.
+"""Removal of near copies: SimHash and MinHash bands propose, the sets of 5-word shingles decide.
 
-Each document's set of shingle hashes (XXH64) gets BANDS keys of ROWS minima each. Sets that share a key are joined, through the
-key's smallest set, into candidate groups. Every pair of sets in a candidate group is then judged on the shingles themselves,
-so what is linked has the similarity asked for, and a pair that shares no key but a group is found as well. A large group is
-dealt out as pairs of chunks. Only distinct sets are compared, so exact copies cost nothing; components come from tables.
+SimHash near-dedup as a stage of a pipeline, where a link is a Jaccard similarity of LEAST or more. Distinct shingle sets get a
+64-bit fingerprint; ``simhash.links`` joins those within MOST bits by the generalised pigeonhole principle. Sets of similarity
+0.8 lie 9 bits apart at the median, too far for any partition to tell them from the rest, so each set also gets BANDS keys of
+ROWS minima; sets that share a key are joined through the key's smallest set. Every pair of sets in a group so proposed is then
+judged on the shingles themselves: what is linked has the similarity asked for, and a pair that shares no key but a group is
+found as well. A large group is dealt out as pairs of chunks. Only distinct sets are compared, so exact copies cost nothing;
+components come from tables.
 
 A pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, 0.99999 at 0.85.
 
@@ -21,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import bounded_batches, mixed, record, slices, text_bytes, written
-from rallyframe.llm.simhash import components, shingle_hashes
+from rallyframe.llm.common import bounded_batches, discard, mixed, record, slices, text_bytes, written
+from rallyframe.llm.simhash import components, majority_bits, shingle_hashes
+from rallyframe.llm.simhash import links as close_fingerprints
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
+MOST = 3
 #: Similarity asked for, as a fraction of whole numbers.
 LEAST = (4, 5)
 CHUNK, CHUNK_BYTES = 2048, 16 << 20
@@ -48,7 +53,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """``keep``, _row (a number of its own), _set (digest of the shingle set), _bytes and _bands, one row a document."""
+    """``keep``, _row (a number of its own), _set (digest of the shingle set), _fp (its SimHash), _bytes and _bands, one row a document."""
     bounded_batches(docs.sparkSession)
     source = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -60,15 +65,17 @@ def sketched(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
                 data = raw.tobytes()
                 sets = [shingle_set(data[s:e]) for s, e in itertools.pairwise(offsets.tolist())]
                 digest = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                full = [i for i, x in enumerate(sets) if len(x)]
+                size = np.array([len(x) for x in sets], np.int64)
+                fp = majority_bits(np.concatenate([np.zeros(0, np.uint64), *sets]), size).view(np.int64)
+                full = np.flatnonzero(size).tolist()
                 keys = np.zeros((len(full), BANDS), np.int64)
                 if full:
                     keys = band_keys([sets[i] for i in full])
                 at = np.cumsum([0, *(BANDS if len(x) else 0 for x in sets)])
                 bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_row"), pa.array(digest), pa.array(np.diff(offsets)), bands], [*keep, "_row", "_set", "_bytes", "_bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_row"), pa.array(digest), pa.array(fp), pa.array(np.diff(offsets)), bands], [*keep, "_row", "_set", "_fp", "_bytes", "_bands"])
 
-    return source.mapInArrow(run, f"{kinds}, _row bigint, _set bigint, _bytes bigint, _bands array<bigint>")
+    return source.mapInArrow(run, f"{kinds}, _row bigint, _set bigint, _fp bigint, _bytes bigint, _bands array<bigint>")
 
 
 def verified(sets: list[np.ndarray], names: np.ndarray) -> list[tuple[int, int]]:
@@ -108,13 +115,19 @@ def verified(sets: list[np.ndarray], names: np.ndarray) -> list[tuple[int, int]]
 def links(sketches: DataFrame, distinct: DataFrame, text: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(a, b), a < b: verified links between sets, enough to connect all that are linked within a candidate group.
 
-    ``distinct``: _set, _bands, _bytes and the row ``_first`` whose text stands for the set.
+    ``distinct``: _set, _fp, _bands, _bytes and the row ``_first`` whose text stands for the set.
     """
+    by_fp = written(distinct.groupBy(F.col("_fp").alias("fp")).agg(F.min("_set").alias("low")), "copies-fingerprints")
+    close = close_fingerprints(by_fp.select("fp"), MOST).join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("sa")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("sb")), "b")
+    close = close.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    equal = distinct.join(by_fp, F.col("_fp") == F.col("fp")).where("low < _set").select(F.col("low").alias("a"), F.col("_set").alias("b"))
     keys = distinct.select("_set", F.explode("_bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("_set").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    met = keys.join(shared, "key").where("low < _set").select(F.col("low").alias("a"), F.col("_set").alias("b")).distinct()
-    groups = components(written(met, "copies-met")).select(F.col("fp").alias("_set"), "root")
+    met = keys.join(shared, "key").where("low < _set").select(F.col("low").alias("a"), F.col("_set").alias("b"))
+    met = written(met.unionByName(close).unionByName(equal).distinct(), "copies-met")
+    groups = components(met).select(F.col("fp").alias("_set"), "root")
     members = written(groups.join(distinct.select("_set", "_first", "_bytes"), "_set"), "copies-members")
+    discard(met, by_fp)
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("_bytes") / F.lit(chunk_bytes)), F.lit(1)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("_set"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda d: F.least(own, d) * F.col("k") + F.greatest(own, d))
@@ -143,7 +156,7 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], text: str = "text", i
     """``columns`` of one row a component of near copies: that of smallest id (null ids last), of equal ids any one by a hash of the row."""
     sketches = written(sketched(docs, columns, text), "copies-sketches")
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("hash"), F.col("_row").alias("row"))
-    best = sketches.groupBy("_set").agg(F.min(rank).alias("best"), F.max("_bytes").alias("_bytes"), F.first("_bands").alias("_bands"))
+    best = sketches.groupBy("_set").agg(F.min(rank).alias("best"), F.max("_bytes").alias("_bytes"), F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands"))
     distinct = written(best.withColumn("_first", F.col("best.row")), "copies-distinct")
     roots = components(written(links(sketches, distinct, text), "copies-links")).select(F.col("fp").alias("_set"), "root")
     kept = distinct.select("_set", "best").join(roots, "_set", "left").groupBy(F.coalesce("root", "_set").alias("root")).agg(F.min("best").alias("best"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import bounded_batches, record, slices, text_bytes, written
+from rallyframe.llm.common import bounded_batches, discard, record, slices, text_bytes, written
 
 GROUPS, WIDTH = 4, 16
 CHUNK = 2048
@@ -302,15 +302,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     sides = edges.select(F.col("a").alias("fp"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a")))
     sides = written(sides, "simhash-links")
-    roots = written(sides.groupBy("fp").agg(F.min("other").alias("m")).select("fp", F.least("fp", "m").alias("root")), "simhash-roots")
+    table = written(sides.groupBy("fp").agg(F.min("other").alias("m")).select("fp", F.least("fp", "m").alias("root")), "simhash-roots")
+    roots = table
     while True:
         near = sides.join(roots.select(F.col("fp").alias("other"), "root"), "other").groupBy("fp").agg(F.min("root").alias("m"))
         step = roots.join(near, "fp").select("fp", "root", F.least("root", "m").alias("low"))
         jump = roots.select(F.col("fp").alias("low"), F.col("root").alias("far"))
         after = written(step.join(jump, "low").select("fp", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")), "simhash-roots")
         moved = after.where("moved").limit(1).count()
-        roots = after.select("fp", "root")
+        discard(table)
+        table, roots = after, after.select("fp", "root")
         if not moved:
+            discard(sides)
             return roots
 
 

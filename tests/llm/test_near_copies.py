@@ -65,7 +65,7 @@ def test_chunks_of_a_large_group(spark):
         rows.append((i, " ".join(t), "en", "s", 1))
     docs = spark.createDataFrame(rows, SCHEMA)
     sketches = near_copies.written(near_copies.sketched(docs, corpus_pipeline.COLUMNS), "t")
-    distinct = sketches.selectExpr("_set", "_bytes", "_bands", "_row AS _first")
+    distinct = sketches.selectExpr("_set", "_fp", "_bytes", "_bands", "_row AS _first")
     found = near_copies.links(sketches, distinct, chunk=20)
     roots = {r.root for r in near_copies.components(near_copies.written(found, "t")).collect()}
     assert len(expected(rows)) == len(roots) == 1
