@@ -112,6 +112,17 @@ def verified(sets: list[np.ndarray], names: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
+def among(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose _row is among those of ``chosen``, by bitmaps of 32,768 rows each: an eighth of a byte a row is sent in place of
+    the texts. Where the bitmaps are too many to broadcast, Spark joins them by their number."""
+    at = F.col("_row") + 1
+    bits = chosen.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(written(bits, "copies-bitmaps"), "_bucket")
+    return held.where(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def links(sketches: DataFrame, distinct: DataFrame, text: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(a, b), a < b: verified links between sets, enough to connect all that are linked within a candidate group.
 
@@ -131,7 +142,8 @@ def links(sketches: DataFrame, distinct: DataFrame, text: str = "text", chunk: i
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("_bytes") / F.lit(chunk_bytes)), F.lit(1)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("_set"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda d: F.least(own, d) * F.col("k") + F.greatest(own, d))
-    dealt = members.join(sizes, "root").join(sketches.select(F.col("_row").alias("_first"), F.col(text).alias("_text")), "_first")
+    texts = among(sketches.select("_row", F.col(text).alias("_text")), members.select(F.col("_first").alias("_row")))
+    dealt = members.join(sizes, "root").join(texts.withColumnRenamed("_row", "_first"), "_first")
     dealt = dealt.select("root", "_set", "_text", F.explode(pairs).alias("pair")).select(F.xxhash64("root", "pair").alias("key"), "_set", "_text")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "_set")
 
@@ -160,4 +172,4 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], text: str = "text", i
     distinct = written(best.withColumn("_first", F.col("best.row")), "copies-distinct")
     roots = components(written(links(sketches, distinct, text), "copies-links")).select(F.col("fp").alias("_set"), "root")
     kept = distinct.select("_set", "best").join(roots, "_set", "left").groupBy(F.coalesce("root", "_set").alias("root")).agg(F.min("best").alias("best"))
-    return sketches.join(kept.select(F.col("best.row").alias("_row")), "_row", "left_semi").select(*columns)
+    return among(sketches.select("_row", *columns), kept.select(F.col("best.row").alias("_row"))).select(*columns)
