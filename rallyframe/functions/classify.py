@@ -147,9 +147,9 @@ def sides_of_users(users: Column, winner: Column) -> Column:
 
 
 def labelled_id(first: Column, second: Column, labels: tuple[str, str]) -> Column:
-    """struct(id, label): the first id given, with its label."""
+    """struct(given, label): the first id given, with its label."""
     a, b = (F.when(F.lower(strip(c)) == "null", "").otherwise(strip(c)) for c in (first, second))
-    return F.struct(F.when(a != "", a).otherwise(b).alias("id"), F.when(a != "", labels[0]).when(b != "", labels[1]).otherwise("").alias("label"))
+    return F.struct(F.when(a != "", a).otherwise(b).alias("given"), F.when(a != "", labels[0]).when(b != "", labels[1]).otherwise("").alias("label"))
 
 
 def parent_state(running: Column, latest: Column) -> Column:

@@ -117,3 +117,9 @@ def numbered(df: DataFrame, lead: str, order: list[Column], rank: str = "place",
 def dealt(df: DataFrame, place: str, ways: int, name: str = "lane") -> DataFrame:
     """Round-robin lanes (strided slices) of rows that have a place from 1."""
     return df.withColumn(name, ((F.col(place) - 1) % ways).cast("int"))
+
+
+def with_settings(rows: DataFrame, settings: DataFrame, source: str, **defaults) -> DataFrame:
+    """Rows with the settings of their source; of a source without a row, or with a null in it, the defaults hold."""
+    found = rows.join(settings, source, "left")
+    return found.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

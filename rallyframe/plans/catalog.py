@@ -52,6 +52,8 @@ def facts(name: str, inputs: str, cases: list[tuple], f: Callable[..., Column |
 
     ``inputs``: DDL of the input columns. ``cases``: inputs and then the expected value or values.
     """
+    if taken := {"id", "k"} & {*OUTPUTS.get(name, []), *(c.split()[0] for c in split_ddl(inputs))}:
+        raise ValueError(f"{name}: reserved column names {sorted(taken)}")
     FACTS[name] = (inputs, cases, f)
     n_in = len(split_ddl(inputs))
     outs = len(cases[0]) - n_in

@@ -20,6 +20,29 @@ def csv_aliases(spark, sf_dir):
     return files.read_csv(spark, path, ["key", "name", "city"], {"c_custkey": "key", "full_name": "name"})
 
 
+@query("src05_csv_shapes", "SELECT CAST(c_custkey AS string) AS key, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS city FROM customer")
+def csv_shapes(spark, sf_dir):
+    """Files with their columns in another order, and one column fewer, in one folder."""
+    path = staged(spark, "shapes")
+    c = read(spark, sf_dir, "customer")
+    c.where("c_custkey % 2 = 0").select(F.col("c_mktsegment").alias("City"), F.col("c_name").alias("Full Name"), F.col("c_custkey").alias("Key")).write.csv(path, header=True)
+    c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("KEY"), F.col("c_name").alias("full-name")).write.mode("append").csv(path, header=True)
+    return files.read_csv(spark, path, ["key", "name", "city"], {"full_name": "name"})
+
+
+@query("src08_registry_narrow", "SELECT CAST(s_suppkey AS string) AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 = 0")
+def registry_narrow(spark, sf_dir):
+    """Rows too short or too long for the header go, also where fewer columns than it has are asked for."""
+    path = staged(spark, "registry")
+    s = read(spark, sf_dir, "supplier")
+    tail = F.when(F.col("s_suppkey") % 3 == 0, ",1.0,x,y,z,w").when(F.col("s_suppkey") % 3 == 1, ",1.0").otherwise(",1.0,x,y,z,w,v")
+    s.select(F.concat("s_suppkey", F.lit(","), "s_name", tail).alias("value")).coalesce(4).unionByName(spark.createDataFrame([], "value string")).write.text(path)
+    head = staged(spark, "registry")
+    lines = spark.read.text(path)
+    lines.repartition(1).select(F.lit(1).alias("o"), "value").unionByName(spark.createDataFrame([(0, "ID,Name,Balance,A,B,C,D")], "o int, value string")).coalesce(1).sortWithinPartitions("o").select("value").write.text(head)
+    return files.read_registry(spark, head, ["id", "name"])
+
+
 @query("src08_registry_checked", "SELECT CAST(s_suppkey AS string) AS id, s_name AS name FROM supplier")
 def registry(spark, sf_dir):
     """Ragged lines are left out."""

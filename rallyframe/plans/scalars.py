@@ -74,7 +74,7 @@ facts("cls14_outcome_in_text", "a string", [("A d. B w.o.", "Walkover"), ("6-1 3
 fields("cls15_result_sides", "winner loser outcome", "a string", [("Team1Win", "1", "2", "Completed"), ("TEAM2WIN", "2", "1", "Completed"), ("DRAW", "1", "2", "Tie"), (None, "1", "2", "Tie")], C.result_sides)
 facts("cls16_winner_index", "w string, a string, b string, h int, v int", [("x2", "x1", "x2", 0, 0, 1), ("", "x1", "x2", 3, 1, 0), ("zz", "x1", "x2", 1, 2, 1), ("", "x1", "x2", 1, 1, None), ("", "x1", "x2", None, 1, None)], lambda w, a, b, h, v: C.winner_index(w, F.array(F.array(a), F.array(b)), h, v))
 fields("cls17_sides_of_users", "winners losers", "a string, w string", [("p|q", "q", "q", "p"), ("p|q|r|s", "r", "r|s", "p|q"), ("p|q||", "p", "p", "q")], lambda a, w: F.struct(*(F.array_join(C.sides_of_users(F.split(a, r"\|"), w)[x], "|").alias(x) for x in ("winners", "losers"))))
-fields("cls18_labelled_id", "id label", "a string, b string", [("7", "8", "7", "first"), ("null", "8", "8", "second"), (None, "", "", "")], lambda a, b: C.labelled_id(a, b, ("first", "second")))
+fields("cls18_labelled_id", "given label", "a string, b string", [("7", "8", "7", "first"), ("null", "8", "8", "second"), (None, "", "", "")], lambda a, b: C.labelled_id(a, b, ("first", "second")))
 facts("cls19_parent_state", "r boolean, s string", [(True, "failed", "running"), (False, "failed", "failed"), (False, "partial", "healthy"), (False, "stopped", "stopped"), (False, None, "idle"), (False, "queued", "idle")], C.parent_state)
 facts("cls20_job_state", "s string", [("running", "running"), ("partial", "healthy"), ("queued", "queued"), ("success", "healthy")], C.job_state)
 facts("cls21_severity", "p double", [(95.0, "high"), (70.0, "warn"), (10.0, "ok")], C.severity)

@@ -46,11 +46,11 @@ def gate(spark, sf_dir):
 
 @query("str05_admission")
 def admission(spark, sf_dir):
-    """Jobs of each user's queue, at most three at once; kept as state of a stream."""
+    """Jobs of each user's queue by time, at most three at once; kept as state of a stream."""
     def flow(e):
-        return flows.admitted(e.select("user_id", F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind")), "user_id", "kind", 3)
+        return flows.admitted(e.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind")), "user_id", "kind", 3, ["ts", "event_id"])
 
-    return flows.drained(spark, f"{sf_dir}/events.parquet", flow, "update")
+    return flows.drained(spark, f"{sf_dir}/events.parquet", flow, "update", ("user_id",))
 
 
 @query("str07_promoted", "SELECT event_id, CASE WHEN event_type = 'signup' AND value < 20 THEN 'running' WHEN event_type = 'signup' THEN 'queued' ELSE 'done' END AS state FROM events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import dates, params
 from rallyframe.functions.text import header_key, http_or_blank, request_fingerprint
-from rallyframe.operators import evidence, rows
+from rallyframe.operators import evidence, pages, rows
 from rallyframe.plans.catalog import facts, fields, query, read
 from rallyframe.sources import files
 from rallyframe.sources.staging import staged
@@ -354,3 +354,46 @@ facts("val06_window_fits", "a date, b date", [(dt.date(2026, 1, 1), dt.date(2026
 facts("val07_rolling_days", "a string", [("1", 1), ("400", 400), ("401", None), ("0", None), ("ten", None), (" ", 15), (None, 15)], params.rolling_days)
 facts("val08_choice", "a string", [(" Singles", "singles"), ("", "both"), (None, "both"), ("mixed", None)], lambda a: params.choice(a, ("singles", "doubles", "both"), "both"))
 facts("val09_time_of_day", "a string", [("9:05", 32700), ("23:59:59", 86399), ("24:00", 21600), ("9.05", 21600), (None, 21600)], lambda a: params.seconds_of_day(a, F.lit(21600)))
+
+
+# ---- sources collected page by page, and settings of sources
+
+
+_STOPS = "SELECT source, min(page) AS stop FROM (SELECT source, page FROM (SELECT DISTINCT source FROM r) AS s, (SELECT unnest(range(0, 100000)) AS page) AS p) LEFT JOIN c USING (source, page) WHERE coalesce(n, 0) < {} GROUP BY 1"
+
+
+def _paged(spark, sf_dir, kept):
+    """Orders as the rows of seven sources in pages of ten, some rows missing."""
+    o = read(spark, sf_dir, "orders").where(kept)
+    return o.select("o_orderkey", (F.col("o_orderkey") % 7).alias("source"), F.floor(F.col("o_orderkey") / 70).alias("page"), (F.col("o_custkey") % 50).alias("key"))
+
+
+_PAGES = "WITH r AS (SELECT o_orderkey, o_orderkey % 7 AS source, o_orderkey // 70 AS page, o_custkey % 50 AS key FROM orders WHERE {})"
+
+
+@query("src36_until_short_page", _PAGES.format("o_orderkey % 997 <> 0") + ", c AS (SELECT source, page, count(*) AS n FROM r GROUP BY 1, 2) SELECT source, o_orderkey FROM r JOIN (" + _STOPS.format(10) + ") USING (source) WHERE page <= stop")
+def until_short_page(spark, sf_dir):
+    return pages.until_short(_paged(spark, sf_dir, "o_orderkey % 997 <> 0"), "source", "page", 10).select("source", "o_orderkey")
+
+
+@query("src26_until_empty_page", _PAGES.format("o_orderkey // 70 % 13 <> 12 OR o_orderkey % 7 = 3") + ", c AS (SELECT source, page, count(*) AS n FROM r GROUP BY 1, 2) SELECT source, o_orderkey FROM r JOIN (" + _STOPS.format(1) + ") USING (source) WHERE page <= stop")
+def until_empty_page(spark, sf_dir):
+    return pages.until_empty(_paged(spark, sf_dir, "floor(o_orderkey / 70) % 13 <> 12 OR o_orderkey % 7 = 3"), "source", "page").select("source", "o_orderkey")
+
+
+@query("src35_until_nothing_new", _PAGES.format("true") + ", f AS (SELECT source, key, min(page) AS page FROM r GROUP BY 1, 2), c AS (SELECT source, page, count(*) AS n FROM f GROUP BY 1, 2) SELECT source, key, page FROM f JOIN (" + _STOPS.format(1) + ") USING (source) WHERE page <= stop")
+def until_nothing_new(spark, sf_dir):
+    return pages.until_nothing_new(_paged(spark, sf_dir, "true"), "source", "page", "key").select("source", "key", "page")
+
+
+@query("val10_host_allowed", r"SELECT page_id, coalesce(host IN ('example.org', 'example.net') OR ends_with(host, '.example.org') OR ends_with(host, '.example.net'), false) AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages)")
+def host_allowed(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", pages.host_allowed(F.col("url"), ("example.org", "example.net")).alias("allowed"))
+
+
+@query("udf03_source_settings", "SELECT c_custkey, coalesce(label, 'other') AS label, CASE WHEN coalesce(upper, false) THEN upper(c_name) ELSE c_name END AS name FROM customer LEFT JOIN (VALUES ('BUILDING', 'b', true, 100.0), ('MACHINERY', 'm', false, NULL)) AS s(c_mktsegment, label, upper, least) USING (c_mktsegment) WHERE c_acctbal >= coalesce(least, -500)")
+def source_settings(spark, sf_dir):
+    """One flow for all sources, told by a table what holds for each."""
+    settings = spark.createDataFrame([("BUILDING", "b", True, 100.0), ("MACHINERY", "m", False, None)], "c_mktsegment string, label string, upper boolean, least double")
+    told = rows.with_settings(read(spark, sf_dir, "customer"), settings, "c_mktsegment", label="other", upper=False, least=-500.0)
+    return told.where("c_acctbal >= least").select("c_custkey", "label", F.when(F.col("upper"), F.upper("c_name")).otherwise(F.col("c_name")).alias("name"))

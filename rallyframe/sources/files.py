@@ -8,28 +8,58 @@ from pyspark.sql import functions as F
 from rallyframe.functions.text import guarded_cell, header_key, header_label, strip
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str], aliases: dict[str, str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+def headers(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", multi_line: bool = True) -> dict[str, list[str]]:
+    """Header lines and the files that begin with each; a pass over the lines, of which one a file reaches the driver."""
+    lines = spark.read.schema("line string").csv(paths, sep="\x01", quote="\x00", encoding=encoding, multiLine=multi_line)
+    first = lines.where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("line").alias("line"))
+    found: dict[str, list[str]] = {}
+    for r in sorted(first.collect()):
+        found.setdefault(r.line or "", []).append(r.file)
+    return found
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str], aliases: dict[str, str] | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """CSV files as ``columns`` of text: headers in any spelling, unknown columns dropped, missing ones and nulls blank.
 
-    The header of every file is matched on its own, so files of different shapes may lie in one folder.
+    Files are read by groups of one header, so files of different shapes may lie in one folder. ``multi_line``: cells may hold
+    line breaks, and each file is one task; without it large files are split. Files without a line give no rows.
     """
-    raw = spark.read.csv(paths, header=True, encoding=encoding, multiLine=True, escape='"')
-    found: dict[str, str] = {}
-    for c in raw.columns:
-        key = (aliases or {}).get(header_key(c), header_key(c))
-        found.setdefault(key, c)
-    return raw.select(*(F.coalesce(F.col(f"`{found[c]}`"), F.lit("")).alias(c) if c in found else F.lit("").alias(c) for c in columns))
+    parts = []
+    for files_of in headers(spark, paths, encoding, multi_line).values():
+        raw = spark.read.csv(files_of, header=True, encoding=encoding, multiLine=multi_line, escape='"')
+        found: dict[str, str] = {}
+        for c in raw.columns:
+            key = (aliases or {}).get(header_key(c), header_key(c))
+            found.setdefault(key, c)
+        parts.append(raw.select(*(F.coalesce(F.col(f"`{found[c]}`"), F.lit("")).alias(c) if c in found else F.lit("").alias(c) for c in columns)))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-16 where a file begins with its byte order mark, else UTF-8; only the first bytes of one file are read."""
-    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("h")).first()
-    return "UTF-16" if head and head.h in ("FFFE", "FEFF") else "UTF-8"
+    """UTF-16 where a file begins with its byte order mark, else UTF-8; of a folder the first file is asked. Two bytes are read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in store.listStatus(place) if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 1]
+    if not found:
+        return "UTF-8"
+    stream = store.open(min(found, key=lambda f: f.getName()))
+    try:
+        return "UTF-16" if (stream.read(), stream.read()) in ((0xFF, 0xFE), (0xFE, 0xFF)) else "UTF-8"
+    finally:
+        stream.close()
 
 
 def read_registry(spark: SparkSession, paths: str | list[str], required: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """A CSV registry whose header must have ``required``; rows of another width than the header are left out."""
-    raw = spark.read.csv(paths, header=True, encoding=encoding, mode="DROPMALFORMED", escape='"')
+    """A CSV registry whose header must have ``required``; rows of another width than the header are left out.
+
+    All columns are parsed, whichever are asked for: a row's width shows only then.
+    """
+    raw = spark.read.option("columnPruning", "false").csv(paths, header=True, encoding=encoding, mode="DROPMALFORMED", escape='"')
     have = {header_key(c): c for c in raw.columns}
     missing = [c for c in required if c not in have]
     if missing:

@@ -49,22 +49,23 @@ def gate(load: Column, order: list[str], key: str, close_at: int, open_at: int,
     return F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(known))
 
 
-def admitted(events: DataFrame, key: str, kind: str, most: int) -> DataFrame:
+def admitted(events: DataFrame, key: str, kind: str, most: int, order: list[str]) -> DataFrame:
     """(key, started, waiting) after each micro-batch: jobs of a queue start in order while fewer than ``most`` run.
 
-    ``kind``: ``start`` asks for a place, anything else gives one back. Only three counts a key are kept as state.
+    ``kind``: ``start`` asks for a place, anything else gives one back. The events of a micro-batch are taken by ``order``; only
+    three counts a key are kept as state.
     """
 
     def step(names: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         running, waiting, started = state.get if state.exists else (0, 0, 0)
-        for b in batches:
-            for k in b[kind]:
-                if k == "start":
-                    waiting += 1
-                else:
-                    running = max(0, running - 1)
-                moved = min(waiting, most - running)
-                running, waiting, started = running + moved, waiting - moved, started + moved
+        now = pd.concat([b[[*order, kind]] for b in batches]).sort_values(order, kind="stable")
+        for k in now[kind]:
+            if k == "start":
+                waiting += 1
+            else:
+                running = max(0, running - 1)
+            moved = min(waiting, most - running)
+            running, waiting, started = running + moved, waiting - moved, started + moved
         state.update((running, waiting, started))
         yield pd.DataFrame({key: [names[0]], "started": [started], "waiting": [waiting]})
 
@@ -72,8 +73,11 @@ def admitted(events: DataFrame, key: str, kind: str, most: int) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, started bigint, waiting bigint", "running bigint, waiting bigint, started bigint", "update", "NoTimeout")
 
 
-def drained(spark: SparkSession, path: str, flow: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Runs a flow over all rows of a Parquet source as a stream and returns its last result as a table."""
+def drained(spark: SparkSession, path: str, flow: Callable[[DataFrame], DataFrame], mode: str = "complete", key: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a flow over all rows of a Parquet source as a stream and returns its last result as a table.
+
+    In ``update`` mode each micro-batch has a folder of its own and the last row of each ``key`` counts.
+    """
     now = spark.read.parquet(path)
     schema, found = now.schema, now.inputFiles()
     folder, _, name = path.rstrip("/").rpartition("/")
@@ -83,9 +87,15 @@ def drained(spark: SparkSession, path: str, flow: Callable[[DataFrame], DataFram
     out = staged(spark, "stream")
     stream = flow(reader.parquet(path))
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", staged(spark, "stream-state"))
-    if mode == "append":
+    if mode == "update":
+        run = writer.foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/n-{n}")).start()
+    elif mode == "append":
         run = writer.format("parquet").option("path", out).start()
     else:
         run = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     run.awaitTermination()
+    if mode == "update":
+        rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{out}/n-*")
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("last"))
+        return last.select("last.*")
     return spark.read.schema(stream.schema).parquet(out)

@@ -24,8 +24,9 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    names = sorted(df.columns)
-    return names, sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
+    order = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
+    assert len({c.lower() for c in df.columns}) == len(order), f"two columns of one name: {df.columns}"
+    return sorted(df.columns), sorted(tuple(plain(r[i]) for i in order) for r in df.collect())
 
 
 def sql_rows(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], list[tuple]]:

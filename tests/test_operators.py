@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.operators import evidence, identity, rows
+from rallyframe.operators import evidence, identity, pages, rows
 from rallyframe.sources import files, html
 from rallyframe.streaming import flows
 
@@ -84,6 +84,8 @@ def test_csv_with_bom_aliases_and_guard(spark, tmp_path):
 def test_registry_checks(spark, tmp_path):
     (tmp_path / "r.csv").write_text("ID,Name\n1,a\n2,b,c\n3,d\n")
     assert [r.id for r in files.read_registry(spark, str(tmp_path / "r.csv"), ["id", "name"]).collect()] == ["1", "3"]
+    (tmp_path / "s.csv").write_text("ID,Name,City,Day,Month,Year,Gender\n1,a,x,1,2,2000,F\n2,Bo\n3,Cy,Lyon,x,1,1,M,9\n4,d,,,,,\n")
+    assert [r.id for r in files.read_registry(spark, str(tmp_path / "s.csv"), ["id", "name"]).collect()] == ["1", "4"]
     with pytest.raises(ValueError, match="club"):
         files.read_registry(spark, str(tmp_path / "r.csv"), ["id", "club"])
 
@@ -115,12 +117,72 @@ def test_gate_holds_between_thresholds(spark):
 
 
 def test_admission_stream(spark, tmp_path):
-    spark.createDataFrame([("q", "start")] * 5 + [("q", "end")], "q string, kind string").coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
-    got = flows.drained(spark, str(tmp_path / "e.parquet"), lambda e: flows.admitted(e, "q", "kind", 3), "update").first()
-    assert got.started + got.waiting == 5 and got.started in (3, 4)
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("qrs"), i, rng.choice(["start", "start", "end"])) for i in range(300)]
+    mixed = rng.sample(rows, len(rows))
+    for day in range(3):  # three micro-batches; s has no event in the last
+        part = [r for r in mixed if r[1] // 100 == day and (day < 2 or r[0] != "s")]
+        spark.createDataFrame(part, "q string, n int, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    got = flows.drained(spark, str(tmp_path / "e"), lambda e: flows.admitted(e, "q", "kind", 3, ["n"]), "update", ("q",)).collect()
+    want = {}
+    for q in "qrs":
+        running = waiting = started = 0
+        for name, n, kind in rows:
+            if name == q and not (q == "s" and n >= 200):
+                waiting, running = (waiting + 1, running) if kind == "start" else (waiting, max(0, running - 1))
+                moved = min(waiting, 3 - running)
+                running, waiting, started = running + moved, waiting - moved, started + moved
+        want[q] = (started, waiting)
+    assert {r.q: (r.started, r.waiting) for r in got} == want
+
+
+def test_updates_of_several_micro_batches_are_kept(spark, tmp_path):
+    for n, q in enumerate("ab"):
+        spark.createDataFrame([(q, n, "start")], "q string, n int, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+
+    def flow(e):
+        return flows.admitted(e, "q", "kind", 3, ["n"])
+
+    reader = type(spark.readStream)
+    plain = reader.parquet
+    try:
+        reader.parquet = lambda self, path: plain(self.option("maxFilesPerTrigger", 1), path)
+        got = flows.drained(spark, str(tmp_path / "e"), flow, "update", ("q",)).collect()
+    finally:
+        reader.parquet = plain
+    assert {r.q for r in got} == {"a", "b"}
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,City\nAna,Porto\n")
+    (tmp_path / "b.csv").write_text('City,Name\n"Ly\non",Bo\n')
+    (tmp_path / "c.csv").write_text("name\nCy\n")
+    (tmp_path / "d.csv").write_text("")
+    for lines in (True, False):
+        if not lines:
+            (tmp_path / "b.csv").write_text("City,Name\nLyon,Bo\n")
+        got = sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path), ["name", "city"], multi_line=lines).collect())
+        assert got == [("Ana", "Porto"), ("Bo", "Ly\non" if lines else "Lyon"), ("Cy", "")]
 
 
 def test_fuzzy_names(spark):
     a = spark.createDataFrame([(1, "Ana Maria Lopez"), (2, "Bo"), (3, "")], "a int, n string")
     b = spark.createDataFrame([(7, "lopez ANA"), (8, "Bo Derek"), (9, "Maria Silva")], "b int, m string")
     assert {tuple(r) for r in evidence.fuzzy_names(a, b, "a", "b", "n", "m").collect()} == {(1, 7), (2, 8)}
+
+
+def test_pages_end_where_they_should(spark):
+    data = [("a", p, k) for p, n in ((0, 2), (1, 2), (2, 1), (3, 2)) for k in range(n)] + [("b", 1, 0), ("b", 2, 1)] + [("c", 0, 0), ("c", 0, 1)]
+    df = spark.createDataFrame(data, "s string, p bigint, k int")
+
+    def kept(found):
+        return sorted({(r.s, r.p) for r in found.collect()})
+
+    assert kept(pages.until_short(df, "s", "p", 2)) == [("a", 0), ("a", 1), ("a", 2), ("c", 0)]
+    assert kept(pages.until_empty(df, "s", "p")) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("c", 0)]
+    assert kept(pages.until_nothing_new(df, "s", "p", "k")) == [("a", 0), ("c", 0)]
+    assert pages.until_short(df.limit(0), "s", "p", 2).count() == 0
+    urls = spark.createDataFrame([("https://A.Example.org:8/x", True), ("http://example.org.evil.com/", False), ("http://u:p@example.org", True), ("ftp://example.org", False), ("http://x@evil.com/example.org", False), (None, False), ("", False)], "u string, w boolean")
+    assert all(r.got == r.w for r in urls.withColumn("got", pages.host_allowed(F.col("u"), ("example.org",))).collect())
