@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rallyframe.functions.text import blank, collapse, strip
+from rallyframe.functions.text import blank, collapse, strip, tidy
 
 #: The date spellings of identity keys, in the order they are tried.
 IDENTITY_FORMATS = ("yyyy-M-d", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yy")
@@ -16,10 +16,15 @@ def first_date(c: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
 
 
+def _date_by_sign(c: Column, formats: tuple[str, ...]) -> Column:
+    """As ``first_date``; formats whose separator the text lacks are not tried."""
+    return F.coalesce(*[F.when(c.contains(next(s for s in "-/," if s in f)), F.try_to_timestamp(c, F.lit(f)).cast("date")) for f in formats])
+
+
 def identity_date(c: Column) -> Column:
     """ISO date of the first spelling that fits, else the lower-cased text."""
-    raw = collapse(c)
-    return F.coalesce(F.date_format(first_date(raw, IDENTITY_FORMATS), "yyyy-MM-dd"), F.lower(raw))
+    # read once: each format would make the spaces anew
+    return F.transform(F.array(tidy(c)), lambda raw: F.coalesce(F.date_format(_date_by_sign(raw, IDENTITY_FORMATS), "yyyy-MM-dd"), F.lower(raw)))[0]
 
 
 def us_date(c: Column, formats: tuple[str, ...], otherwise: str | None = "") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import identity_date
-from rallyframe.functions.text import blank, first_letter, normal, score_key, strip
+from rallyframe.functions.text import blank, first_letter, score_key, strip, tidy
 
 SEPARATOR = "\x1f"
 
@@ -16,9 +16,10 @@ def identity_hash(date: Column, gender: Column, draw: Column, kind: Column, play
 
     Partners and teams may come in any order; every part is blank rather than null, so none is skipped.
     """
-    people = F.array_join(F.array_sort(F.filter(F.array(*(normal(p) for p in players)), lambda x: x != "")), SEPARATOR)
-    sides = F.array_join(F.array_sort(F.array(*(normal(t) for t in teams))), SEPARATOR)
-    return F.sha2(F.concat_ws(SEPARATOR, identity_date(date), first_letter(gender), normal(draw), normal(kind), people, score_key(score), sides), 256)
+    folded = [F.lower(tidy(c)) for c in (*players, *teams, draw, kind)]
+    people = F.array_join(F.sort_array(F.array_remove(F.array(*folded[: len(players)]), "")), SEPARATOR)
+    sides = F.array_join(F.sort_array(F.array(*folded[len(players) : -2])), SEPARATOR)
+    return F.sha2(F.concat_ws(SEPARATOR, identity_date(date), first_letter(gender), *folded[-2:], people, score_key(score), sides), 256)
 
 
 def canonical_row(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.functions.text import canonical_url, collapse, normal
+from rallyframe.functions.text import canonical_url, collapse, tidy
 from rallyframe.operators import identity, rows
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES, query, read
 
@@ -87,7 +87,7 @@ _SQL_NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 
 def _sides():
     def side(*names):
-        return F.array_sort(F.array(*(normal(F.col(n)) for n in names)))
+        return F.sort_array(F.array(*(F.lower(tidy(F.col(n))) for n in names)))
 
     return [side("w1", "w2"), side("l1", "l2"), F.col("score")]
 
