@@ -69,9 +69,14 @@ def title_if_capitals(c: Column) -> Column:
 
 
 def title(c: Column) -> Column:
-    """Each run of letters capitalised, wherever it begins (``o'neil-smith`` to ``O'Neil-Smith``)."""
+    """Each run of letters capitalised, wherever it begins (``o'neil-smith`` to ``O'Neil-Smith``); a sharp s there is ``Ss``."""
     runs = F.regexp_extract_all(blank(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.char_length(r))))), "")
+
+    def capital(r: Column) -> Column:
+        first = F.upper(F.substring(r, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, F.lit(2), F.char_length(first)), F.substring(r, F.lit(2), F.char_length(r)))))
+
+    return F.array_join(F.transform(runs, capital), "")
 
 
 def without_seed(c: Column) -> Column:

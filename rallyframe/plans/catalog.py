@@ -93,4 +93,4 @@ def fields(name: str, outputs: str, inputs: str, cases: list[tuple], f: Callable
     facts(name, inputs, cases, lambda *c: {o: f(*c)[o] for o in outputs.split()})
 
 
-from rallyframe.plans import dashboards, dedup, feeds, scalars, streams, tables  # noqa: E402,F401
+from rallyframe.plans import dashboards, dedup, feeds, scalars, streams, tables, whole  # noqa: E402,F401
