@@ -43,14 +43,26 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, to: str, fallback: Co
 def fuzzy_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str) -> DataFrame:
     """Pairs of ids whose names match by tokens (one within the other, or two in common).
 
-    Names meet on a token both hold, so only pairs with something in common are compared. Equal names are one row each
-    while they meet; the pairs of ids come back by their membership.
+    Two names with two tokens in common also share one that is not the most frequent token of either, so names of several
+    tokens meet on those; a name of one token meets every name that holds it, and each such meeting is a pair. A token that
+    most names hold thus joins only where the result asks for it. Equal names are one row each while they meet; the pairs of
+    ids come back by their membership.
     """
     a = left.select(F.array_sort(name_tokens(F.col(left_name))).alias("ta"), left_id).where(F.size("ta") > 0)
     b = right.select(F.array_sort(name_tokens(F.col(right_name))).alias("tb"), right_id).where(F.size("tb") > 0)
     da, db = a.select("ta").distinct(), b.select("tb").distinct()
-    met = da.withColumn("t", F.explode("ta")).join(db.withColumn("t", F.explode("tb")), "t").select("ta", "tb").distinct()
-    met = met.where(names_match(F.col("ta"), F.col("tb")))
+    ea, eb = da.withColumn("t", F.explode("ta")), db.withColumn("t", F.explode("tb"))
+    often = ea.select("t").unionByName(eb.select("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def rarer(names: DataFrame, tokens: str) -> DataFrame:
+        """Names of several tokens by each but the most frequent; of equal counts the order of the tokens tells."""
+        counted = names.where(F.size(tokens) > 1).join(often, "t").groupBy(tokens).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("by_count"))
+        return counted.select(tokens, F.explode(F.slice("by_count", F.lit(1), F.size("by_count") - 1)["t"]).alias("t"))
+
+    several = rarer(ea, "ta").join(rarer(eb, "tb"), "t").select("ta", "tb").distinct().where(names_match(F.col("ta"), F.col("tb")))
+    one_left = ea.where(F.size("ta") == 1).join(eb, "t").select("ta", "tb")
+    one_right = ea.where(F.size("ta") > 1).join(eb.where(F.size("tb") == 1), "t").select("ta", "tb")
+    met = several.unionByName(one_left).unionByName(one_right)
     return met.join(a, "ta").join(b, "tb").select(left_id, right_id)
 
 

@@ -15,8 +15,11 @@ KEYS = {"part": "p_partkey", "customer": "c_custkey", "orders": "o_orderkey", "p
 W = r"[\s\v\x{85}\p{Z}]"
 
 
-def applied(name: str, table: str, inputs: list[str], *sql: str) -> None:
-    """Runs the expression of the stated cases ``name`` over ``inputs`` of a table; ``sql``: each output, of the inputs' names."""
+def applied(name: str, table: str, inputs: list[str], *sql: str, nested: tuple[str, ...] = ()) -> None:
+    """Runs the expression of the stated cases ``name`` over ``inputs`` of a table; ``sql``: each output, of the inputs' names.
+
+    ``nested``: inputs of types that the engines write differently; the SQL has to do without them.
+    """
     ddl, _, f = FACTS[name]
     names = [c.split()[0] for c in split_ddl(ddl)]
     assert len(names) == len(inputs), name
@@ -32,7 +35,8 @@ def applied(name: str, table: str, inputs: list[str], *sql: str) -> None:
     outs = OUTPUTS.get(name) or ["value"]
     assert len(outs) == len(sql), name
     shown = ", ".join(f'{s} AS "{o}"' for s, o in zip(sql, outs))
-    ORACLE_SQL[name] = f"WITH t AS (SELECT *, {', '.join([key, *given])} FROM {table}) SELECT id, {shown} FROM t"
+    common = [x for x, n in zip(given, names) if n not in nested]
+    ORACLE_SQL[name] = f"WITH t AS (SELECT *, {', '.join([key, *common])} FROM {table}) SELECT id, {shown} FROM t"
 
 
 def strip(x: str) -> str:
@@ -278,3 +282,19 @@ applied("val06_window_fits", "orders", [some("o_orderkey", DAY), "DATE '1998-01-
 applied("val07_rolling_days", "orders", [chosen("o_orderkey", "CAST(o_custkey % 500 AS string)", "o_orderpriority", "' '", "NULL")], "CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 500 BETWEEN 1 AND 400 THEN o_custkey % 500 END WHEN 1 THEN NULL ELSE 15 END")
 applied("val08_choice", "orders", [chosen("o_orderkey", "' Singles'", "'DOUBLES '", "o_orderpriority", "''", "NULL")], "CASE o_orderkey % 5 WHEN 0 THEN 'singles' WHEN 1 THEN 'doubles' WHEN 2 THEN NULL ELSE 'both' END")
 applied("val09_time_of_day", "orders", [chosen("o_orderkey", "concat(o_custkey % 30, ':', CASE WHEN o_orderkey % 2 = 0 THEN '05' ELSE '59' END)", "concat(o_custkey % 24, '.05')", "o_orderpriority", "NULL")], "CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 30 < 24 THEN o_custkey % 30 * 3600 + 300 ELSE 21600 END")
+
+PERIOD = "named_struct('number', {}, 'home', {}, 'away', {}, 'home_tb', {}, 'away_tb', {})"
+PERIODS = "array({})".format(", ".join(PERIOD.format(i, *(f"CAST({x} AS int)" for x in xs)) for i, xs in ((2, (G2, H2, G3, H1)), (1, (G1, some("l_orderkey", H1), "NULL", "NULL")))))
+NONE = "CAST(array() AS array<struct<number:int,home:int,away:int,home_tb:int,away_tb:int>>)"
+
+
+def oriented_pair(a: str, b: str) -> str:
+    return f"CASE WHEN w THEN concat({b}, '-', {a}) ELSE concat({a}, '-', {b}) END"
+
+
+applied("scr02_period_score", "lineitem", [f"CASE WHEN l_suppkey % 3 = 0 THEN {NONE} ELSE {PERIODS} END", f"CAST({G1} AS int)", some("l_orderkey", f"CAST({H1} AS int)"), "l_returnflag = 'A'"], f"CASE WHEN l_suppkey % 3 = 0 THEN CASE WHEN v IS NULL THEN '' ELSE concat({oriented_pair('h', 'v')}, ';') END ELSE concat(CASE WHEN v IS NULL THEN '' ELSE concat({oriented_pair(G1, H1)}, ', ') END, {oriented_pair(G2, H2)}, CASE WHEN {G2} > {H2} THEN concat('(', {H1}, ')') WHEN {H2} > {G2} THEN concat('(', {G3}, ')') ELSE '' END, ';') END", nested=("p",))
+
+ANCHORED = "(CAST(coalesce(a, t) AS date) + CAST((w - (isodow(CAST(coalesce(a, t) AS date)) - 1) + 7) % 7 AS int))"
+MONTHS = "list_transform(range(0, 2), lambda i: least(CAST(CAST(date_trunc('month', t) + i * INTERVAL 1 MONTH AS date) + (d - 1) AS date), last_day(CAST(date_trunc('month', t) + i * INTERVAL 1 MONTH AS date))))"
+DUE = f"CASE f WHEN 'daily' THEN list_transform(range(0, 2), lambda i: CAST(t AS date) + CAST(i AS int)) WHEN 'weekly' THEN list_filter(list_transform(range(0, 15), lambda i: CAST(t AS date) + CAST(i AS int)), lambda x: isodow(x) - 1 = w) WHEN 'biweekly' THEN list_transform(range(0, 6), lambda i: {ANCHORED} + CAST(14 * i AS int)) ELSE {MONTHS} END"
+applied("dat21_next_run", "orders", [chosen("o_custkey", "'daily'", "'weekly'", "'biweekly'", "'monthly'"), number("o_orderkey", 0, 86400), number("o_orderkey", 0, 7), number("o_custkey", 1, 31), some("o_orderkey", f"date_add({DAY}, CAST(o_custkey % 60 - 30 AS int))"), "CAST(o_orderdate AS timestamp)"], f"list_min(list_filter(list_transform({DUE}, lambda x: CAST(x AS timestamp) + s * INTERVAL 1 SECOND), lambda x: x > t))")

@@ -173,6 +173,17 @@ def test_fuzzy_names(spark):
     assert {tuple(r) for r in evidence.fuzzy_names(a, b, "a", "b", "n", "m").collect()} == {(1, 7), (2, 8)}
 
 
+def test_fuzzy_names_against_all_pairs(spark):
+    words = ["de", "la", "ana", "bo", "cruz", "silva"]
+    names = [" ".join(words[j] for j in range(6) if i >> j & 1 or j == i % 3) for i in range(64)] + ["de", "", "ana", "7"]
+    a = spark.createDataFrame(list(enumerate(names)), "a int, n string")
+    b = spark.createDataFrame(list(enumerate(reversed(names))), "b int, m string")
+    sets = [{t for t in n.split() if t != "7"} for n in names]
+    wanted = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(reversed(sets)) if x and y and (x <= y or y <= x or len(x & y) > 1)}
+    got = [tuple(r) for r in evidence.fuzzy_names(a, b, "a", "b", "n", "m").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
 def test_pages_end_where_they_should(spark):
     data = [("a", p, k) for p, n in ((0, 2), (1, 2), (2, 1), (3, 2)) for k in range(n)] + [("b", 1, 0), ("b", 2, 1)] + [("c", 0, 0), ("c", 0, 1)]
     df = spark.createDataFrame(data, "s string, p bigint, k int")
