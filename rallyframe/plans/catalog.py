@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,47 +27,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def literal(v) -> str:
-    """A value as a SQL literal."""
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, dt.datetime):
-        return f"TIMESTAMP '{v}'"
-    if isinstance(v, dt.date):
-        return f"DATE '{v}'"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-
-
 FACTS: dict[str, tuple[str, list[tuple], Callable[..., Column | dict[str, Column]]]] = {}
 
 
 def facts(name: str, inputs: str, cases: list[tuple], f: Callable[..., Column | dict[str, Column]]) -> None:
-    """A query that applies an expression to inputs dealt over all orders; the SQL states the value of each case.
+    """The stated cases of an expression, which tests compare; ``whole`` makes the query that applies it to a table.
 
     ``inputs``: DDL of the input columns. ``cases``: inputs and then the expected value or values.
     """
     if taken := {"id", "k"} & {*OUTPUTS.get(name, []), *(c.split()[0] for c in split_ddl(inputs))}:
         raise ValueError(f"{name}: reserved column names {sorted(taken)}")
     FACTS[name] = (inputs, cases, f)
-    n_in = len(split_ddl(inputs))
-    outs = len(cases[0]) - n_in
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = spark.createDataFrame([(i, *c[:n_in]) for i, c in enumerate(cases)], f"k bigint, {inputs}")
-        rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_orderkey", F.lit(len(cases))).alias("k"))
-        value = f(*(F.col(c.split()[0]) for c in split_ddl(inputs)))
-        named = value if isinstance(value, dict) else {"value": value}
-        return rows.join(F.broadcast(given), "k").select("id", *(c.alias(a) for a, c in named.items()))
-
-    QUERIES[name] = run
-    names = OUTPUTS.get(name) or (["value"] if outs == 1 else None)
-    values = ", ".join("(" + ", ".join([str(i), *(literal(v) for v in c[n_in:])]) + ")" for i, c in enumerate(cases))
-    shown = ", ".join(f'"{n}"' for n in names)
-    ORACLE_SQL[name] = f"SELECT o_orderkey AS id, {shown} FROM orders JOIN (VALUES {values}) AS v(k, {shown}) ON o_orderkey % {len(cases)} = k"
 
 
 OUTPUTS: dict[str, list[str]] = {}

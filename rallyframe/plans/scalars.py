@@ -1,4 +1,4 @@
-"""Scalar operators as queries: each case states its inputs and the value they must give."""
+"""Scalar operators: each case states its inputs and the value they must give; ``whole`` applies them to tables."""
 
 from __future__ import annotations
 

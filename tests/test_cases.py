@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.plans.catalog import FACTS, split_ddl
+from rallyframe.plans.catalog import FACTS, ORACLE_SQL, QUERIES, split_ddl
 
 from .oracle import plain
 
@@ -19,3 +19,7 @@ def test_cases(spark, name):
     named = list(value.values()) if isinstance(value, dict) else [value]
     found = rows.select("k", *(c.alias(f"o{i}") for i, c in enumerate(named))).orderBy("k").collect()
     assert [tuple(map(plain, r[1:])) for r in found] == [tuple(map(plain, c[n:])) for c in cases]
+
+
+def test_every_expression_has_its_query():
+    assert set(FACTS) <= set(QUERIES) & set(ORACLE_SQL)
