@@ -32,15 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rallyframe.llm.common import LOWER, NOT_SPACE, bounded_batches, discard, mixed, record, same_words, text_bytes, word_hashes, word_spans, written
+from rallyframe.llm.common import BATCH_ROWS, LOWER, NOT_SPACE, bounded_batches, discard, mixed, record, same_words, slices, text_bytes, word_hashes, word_spans, written
 from rallyframe.llm.divergence import gathered
 
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 #: Bytes of text and documents of a block, tokens of a bucket, blocks whose documents meet a bucket in one task.
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_TOKENS, CHUNK_BLOCKS = 16 << 20, 1 << 16, 1 << 21, 2048
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_TOKENS, CHUNK_BLOCKS = 32 << 20, 1 << 16, 1 << 21, 2048
+#: Tokens of a block whose pairs are sorted at a time.
+SORTED_TOKENS = 1 << 20
 #: Words of equal count are numbered in this many parts where the count is at most ``FEW``, and words of a part.
-FEW, NUMBERED = 64, 1 << 20
+FEW, NUMBERED = 64, 1 << 18
 END = " "  # no word holds a space
 BEGIN = -1
 
@@ -62,10 +64,9 @@ def unpacked(data: bytes) -> np.ndarray:
 # ------------------------------------------------------------------------------------------------ blocks of encoded texts
 
 
-def encode_block(pieces: list[pa.RecordBatch]) -> dict:
-    """One row: ids, training marks and token counts of the documents, distinct words, their training counts, the tokens."""
-    whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
-    raw, offsets = text_bytes(whole.column("text"))
+def encode_slice(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words with the end mark, tokens as places among them, tokens of each text)."""
+    raw, offsets = text_bytes(texts)
     raw = LOWER[raw]
     starts, ends, edges = word_spans(raw, offsets, NOT_SPACE)
     _, first, number = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
@@ -75,11 +76,39 @@ def encode_block(pieces: list[pa.RecordBatch]) -> dict:
         number = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
         first = np.unique(number, return_index=True)[1]
     words = pa.concat_arrays([gathered(raw, starts[first], ends[first]), pa.array([END])])
-    sizes = np.diff(edges)
-    tokens = np.insert(number, edges[1:], len(first))
-    train = whole.column("train").to_numpy(zero_copy_only=False)
-    counts = np.bincount(tokens[np.repeat(train, sizes + 1)], minlength=len(words))
-    return {"ids": whole.column("id"), "train": whole.column("train"), "sizes": pa.array(sizes + 1), "words": words, "counts": pa.array(counts), "tokens": packed(tokens)}
+    return words, np.insert(number, edges[1:], len(first)).astype(np.int32), np.diff(edges) + 1
+
+
+class Block:
+    """Slices of texts on their way to one row of encoded texts."""
+
+    def __init__(self):
+        self.slices, self.parts, self.size, self.docs = [], [], 0, 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        self.parts.append(b.select(["id", "train"]))
+        self.slices.append(encode_slice(b.column("text")))
+        self.size += int(text_bytes(b.column("text"))[1][-1])
+        self.docs += b.num_rows
+
+    def row(self, block: int) -> pa.RecordBatch:
+        """Words are told apart by their strings, and placed by how often they occur."""
+        own = pa.Table.from_batches(self.parts).combine_chunks()
+        whole = pa.concat_arrays([w for w, _, _ in self.slices]).dictionary_encode()
+        places, at = whole.indices.to_numpy(), 0
+        streams = []
+        for words, tokens, _ in self.slices:
+            streams.append(places[at : at + len(words)][tokens])
+            at += len(words)
+        tokens, sizes = np.concatenate(streams), np.concatenate([n for _, _, n in self.slices])
+        order = np.argsort(-np.bincount(tokens, minlength=len(whole.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        tokens = rank[tokens]
+        train = own["train"].to_numpy()
+        counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(order))
+        lists = [own["id"].combine_chunks(), own["train"].combine_chunks(), pa.array(sizes), whole.dictionary.take(pa.array(order)), pa.array(counts)]
+        return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), pa.array([packed(tokens)])], ["block", "ids", "train", "sizes", "words", "counts", "tokens"])
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -90,22 +119,15 @@ def encoded(docs: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId() << 20, 0
-
-        def block():
-            row = encode_block(held)
-            lists = [pa.array([task + made])] + [pa.array([row[k]]) if isinstance(row[k], bytes) else pa.ListArray.from_arrays(pa.array([0, len(row[k])], pa.int32()), row[k]) for k in row]
-            return pa.RecordBatch.from_arrays(lists, ["block", *row])
-
-        held, size, n = [], 0, 0
-        for b in batches:
-            held.append(b)
-            size, n = size + int(text_bytes(b.column("text"))[1][-1]), n + b.num_rows
-            if size >= BLOCK_BYTES or n >= BLOCK_DOCS - b.num_rows:
-                yield block()
-                held, size, n, made = [], 0, 0, made + 1
-        if n:
-            yield block()
+        number, block = TaskContext.get().partitionId() << 20, Block()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                block.add(b)
+                if block.size >= BLOCK_BYTES or block.docs >= BLOCK_DOCS - BATCH_ROWS:
+                    yield block.row(number)
+                    number, block = number + 1, Block()
+        if block.docs:
+            yield block.row(number)
 
     return docs.mapInArrow(run, f"block bigint, ids array<{kind}>, train array<boolean>, sizes array<bigint>, words array<string>, counts array<bigint>, tokens binary")
 
@@ -238,10 +260,10 @@ def direct_scores(sizes: np.ndarray, numbers: np.ndarray, tokens: np.ndarray, si
     return known, np.bincount(doc, singles.base(own), len(sizes)), np.bincount(doc[lone], np.log10(singles.probability(own[lone])), len(sizes))
 
 
-def block_pairs(sizes: np.ndarray, train: np.ndarray, numbers: np.ndarray, tokens: np.ndarray, buckets: Buckets, with_docs: bool):
-    """Rows (bucket, first, second, count, docs_of, doc, n) of a block, packed; pairs in the order of their numbers.
+def block_pairs(before: int, sizes: np.ndarray, train: np.ndarray, numbers: np.ndarray, tokens: np.ndarray, buckets: Buckets, with_docs: bool):
+    """Rows (bucket, first, second, count, docs_of, doc, n) of a run of documents, packed; pairs in the order of their numbers.
 
-    ``numbers``: of each local word. Without documents only pairs with a training count are given, and three empty columns.
+    ``before``: the block's documents before the run; ``numbers``: of each of the block's words. Without documents only pairs with a training count are given, and three empty columns.
     """
     order = np.argsort(numbers, kind="stable")  # places in the order of the numbers: what is sorted by place is sorted by number
     place = np.empty(len(order), np.int64)
@@ -275,7 +297,7 @@ def block_pairs(sizes: np.ndarray, train: np.ndarray, numbers: np.ndarray, token
         row = [k, packed(np.diff(first[at] + 1, prepend=0)), packed(second[at])]
         if with_docs:
             docs = by_doc[doc_ends[k] : doc_ends[k + 1]]
-            yield [*row, b"", packed(docs_of[at]), packed(doc[docs]), packed(n[docs])]
+            yield [*row, b"", packed(docs_of[at]), packed(before + doc[docs]), packed(n[docs])]
         else:
             yield [*row, packed(count[at]), b"", b"", b""]
 
@@ -283,29 +305,42 @@ def block_pairs(sizes: np.ndarray, train: np.ndarray, numbers: np.ndarray, token
 PAIRS = "bucket int, block long, first binary, second binary, count binary, docs_of binary, doc binary, n binary"
 
 
-def block_row(b: pa.RecordBatch, i: int, singles: Singles) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, sizes, train, numbers, tokens) of a coded block; words that were not told are unknown."""
-    r = {c: b.column(c)[i] for c in ("block", "sizes", "train", "n_words", "at", "number", "tokens")}
-    numbers = np.full(r["n_words"].as_py(), singles.kinds, np.int64)
-    if r["at"].is_valid:
-        numbers[r["at"].values.to_numpy()] = r["number"].values.to_numpy()
-    return r["block"].as_py(), r["sizes"].values.to_numpy(), r["train"].values.to_numpy(zero_copy_only=False), numbers, unpacked(r["tokens"].as_py())
+CODED = "block bigint, ids array<{}>, train array<boolean>, sizes array<bigint>, tokens binary, numbers binary"
+
+
+def coded_block(block: pa.Table, told: pa.Table, unknown: int) -> pa.Table:
+    """A block with the numbers of its words instead of the words; words that were not told are unknown."""
+    numbers = np.full(block["n_words"][0].as_py(), unknown, np.int64)
+    numbers[told["at"].to_numpy()] = told["number"].to_numpy()
+    return block.select(["block", "ids", "train", "sizes", "tokens"]).append_column("numbers", pa.array([packed(numbers)]))
+
+
+def block_row(b: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, sizes, train, numbers, tokens) of a coded block."""
+    r = {c: b.column(c)[i] for c in ("block", "sizes", "train", "numbers", "tokens")}
+    return r["block"].as_py(), r["sizes"].values.to_numpy(), r["train"].values.to_numpy(zero_copy_only=False), unpacked(r["numbers"].as_py()), unpacked(r["tokens"].as_py()).astype(np.int32)
+
+
+def document_runs(sizes: np.ndarray, most: int):
+    """(first document, last + 1, first token, last + 1) of runs of whole documents of up to ``most`` tokens, or of one document."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        begin = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + most, "right")))
+        yield at, to, begin, int(ends[to - 1])
+        at = to
 
 
 def pairs_of(coded: DataFrame, buckets: Buckets, with_docs: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                block, *parts = block_row(b, i, buckets.singles)
-                held, size = [], 0
-                for k, *row in block_pairs(*parts, buckets, with_docs):
-                    held.append((k, block, *row))
-                    size += sum(map(len, row))
-                    if size > 4 << 20:
-                        yield batch(PAIRS, held)
-                        held, size = [], 0
-                if held:
-                    yield batch(PAIRS, held)
+                block, sizes, train, numbers, tokens = block_row(b, i)
+                for one, last, begin, end in document_runs(sizes, SORTED_TOKENS):
+                    rows = [(k, block, *row) for k, *row in block_pairs(one, sizes[one:last], train[one:last], numbers, tokens[begin:end], buckets, with_docs)]
+                    for at in range(0, len(rows), 16):
+                        yield batch(PAIRS, rows[at : at + 16])
 
     return coded.mapInArrow(run, PAIRS)
 
@@ -387,7 +422,7 @@ def pair_logs(asked: tuple[np.ndarray, np.ndarray], model: tuple[np.ndarray, np.
     return np.log10(np.where(found, discounted(r, d) / below[at], weight[at] * singles.probability(asked[1])))
 
 
-PART = "block bigint, doc array<int>, score array<double>"
+PART = "block bigint, doc binary, score binary"
 
 
 def bucket_scores(asked: pa.Table, model: pa.Table, singles: Singles, d: np.ndarray) -> pa.Table:
@@ -408,9 +443,9 @@ def bucket_scores(asked: pa.Table, model: pa.Table, singles: Singles, d: np.ndar
             at += len(first)
             doc = unpacked(r["doc"])
             there = np.flatnonzero(np.bincount(doc))
-            out.append((r["block"], there, np.bincount(doc, each)[there]))
+            out.append((r["block"], packed(np.diff(there, prepend=0)), np.bincount(doc, each)[there].tobytes()))
     blocks, docs, scores = zip(*out, strict=True) if out else ([], [], [])
-    return pa.table({"block": pa.array(blocks, pa.int64()), "doc": pa.array(docs, pa.list_(pa.int32())), "score": pa.array(scores, pa.list_(pa.float64()))})
+    return pa.table({"block": pa.array(blocks, pa.int64()), "doc": pa.array(docs, pa.binary()), "score": pa.array(scores, pa.binary())})
 
 
 SPLIT = "bucket int, first bigint, total double, counts array<double>, lower double"
@@ -438,7 +473,7 @@ def direct_of(coded: DataFrame, singles: Singles, kind: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, sizes, _, numbers, tokens = block_row(b, i, singles)
+                _, sizes, _, numbers, tokens = block_row(b, i)
                 one = [pa.array([x], pa.list_(k)) for x, k in zip(direct_scores(sizes, numbers, tokens, singles), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 same = b.slice(i, 1).select(["block", "ids", "train", "sizes"])
                 yield pa.RecordBatch.from_arrays([*same.columns, *one], [*same.schema.names, "known", "base", "direct"])
@@ -453,7 +488,7 @@ def block_results(own: pa.Table, parts: pa.Table, total: int) -> pa.Table:
             r = {c: b.column(c)[i].values for c in ("ids", "train", "sizes", "known", "base", "direct")}
             score = r["direct"].to_numpy().copy()
             for doc, s in zip(parts["doc"], parts["score"], strict=True):
-                score[doc.values.to_numpy()] += s.values.to_numpy()
+                score[np.cumsum(unpacked(doc.as_py()))] += np.frombuffer(s.as_py())
             out.append(pa.table({"id": r["ids"], "train": r["train"], "n_tokens": r["sizes"], "n_known": r["known"], "train_tokens": pa.array(np.full(len(score), total)), "base_score": r["base"], "score": pa.array(score)}))
     return pa.concat_tables(out)
 
@@ -464,8 +499,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
     kind = own.schema["id"].dataType.simpleString()
     blocks = written(encoded(own), "blocks")
     numbers, singles = numbered_words(blocks)
-    told = blocks.select("block", F.posexplode("words").alias("at", "word")).join(numbers, "word").groupBy("block").agg(F.collect_list(F.struct("at", "number")).alias("told"))
-    coded = written(blocks.select("block", "ids", "train", "sizes", "tokens", F.size("words").alias("n_words")).join(told, "block", "left").select("*", F.col("told.at").alias("at"), F.col("told.number").alias("number")).drop("told"), "coded")
+    told = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(numbers, "word").select("of", "at", "number")
+    bare = blocks.select("block", "ids", "train", "sizes", "tokens", F.size("words").alias("n_words"))
+    coded = written(bare.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(lambda b, t: coded_block(b, t, singles.kinds), CODED.format(kind)), "coded")
     discard(blocks)
     size = coded.agg(F.count("*").alias("blocks"), F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("tokens")).first()
     buckets = Buckets(singles, size.tokens or 0)
