@@ -12,13 +12,21 @@ IDENTITY_FORMATS = ("yyyy-M-d", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "M/d/
 MONTHS = "January February March April May June July August September October November December".split()
 
 
+def read_date(c: Column, pattern: str) -> Column:
+    """A date by one pattern; years of two digits from 69 on are of the last century."""
+    d = F.try_to_timestamp(c, F.lit(pattern)).cast("date")
+    if "yy" in pattern and "yyyy" not in pattern:
+        d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+    return d
+
+
 def first_date(c: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[read_date(c, f) for f in formats])
 
 
 def _date_by_sign(c: Column, formats: tuple[str, ...]) -> Column:
     """As ``first_date``; formats whose separator the text lacks are not tried."""
-    return F.coalesce(*[F.when(c.contains(next(s for s in "-/," if s in f)), F.try_to_timestamp(c, F.lit(f)).cast("date")) for f in formats])
+    return F.coalesce(*[F.when(c.contains(next(s for s in "-/," if s in f)), read_date(c, f)) for f in formats])
 
 
 def identity_date(c: Column) -> Column:

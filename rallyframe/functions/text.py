@@ -20,12 +20,12 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(blank(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))
 
 
 def tidy(c: Column) -> Column:
     """As ``collapse`` for a plain column: a text that has only single spaces inside is taken as it is."""
-    return F.when(blank(c).rlike(r"(?U)[\s&&[^ ]]|  |^ | $"), collapse(c)).otherwise(blank(c))
+    return F.when(blank(c).rlike(r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |^ | $"), collapse(c)).otherwise(blank(c))
 
 
 def normal(c: Column) -> Column:

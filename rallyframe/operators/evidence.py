@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.functions.text import name_tokens, names_match
+from rallyframe.functions.classify import draw_gender, is_mixed_draw
+from rallyframe.functions.text import blank, name_tokens, names_match, strip
 
 
 def agreeing(c: Column) -> Column:
@@ -19,19 +20,43 @@ def single_valued(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(agreeing(F.col(value)).alias(value)).where(F.col(value) != "")
 
 
-def majority(rows: DataFrame, group: str, member: str, value: str, choices: tuple[str, str], margin: int = 2) -> DataFrame:
-    """(group, verdict): members that only ever show one value vote; the leading choice needs ``margin`` votes more."""
+def decided(na: Column, nb: Column, choices: tuple[str, str], margin: int = 2) -> Column:
+    """The choice that has votes alone, else the one that leads by ``margin``, else blank."""
     a, b = choices
-    votes = single_valued(rows, [group, member], value).groupBy(group).agg(F.count_if(F.col(value) == a).alias("na"), F.count_if(F.col(value) == b).alias("nb"))
-    verdict = F.when(F.col("na") - F.col("nb") >= margin, a).when(F.col("nb") - F.col("na") >= margin, b).otherwise("")
-    return votes.select(group, verdict.alias("verdict"))
+    return F.when((na > 0) & (nb == 0), a).when((nb > 0) & (na == 0), b).when(na - nb >= margin, a).when(nb - na >= margin, b).otherwise("")
 
 
-def back_fill(rows: DataFrame, group: str, member: str, value: str, choices: tuple[str, str], margin: int = 2) -> DataFrame:
-    """``rows`` with blank values filled by their group's majority."""
-    verdict = majority(rows, group, member, value, choices, margin)
-    own = F.coalesce(F.col(value), F.lit(""))
-    return rows.join(verdict, group, "left").withColumn(value, F.when(own == "", F.coalesce("verdict", F.lit(""))).otherwise(own)).drop("verdict").select(*rows.columns)
+def majority(rows: DataFrame, group: list[str], member: str, value: str, choices: tuple[str, str], margin: int = 2) -> DataFrame:
+    """(group, verdict): members that only ever show one of the two values vote, each once; see ``decided``."""
+    a, b = choices
+    seen = rows.where(F.col(value).isin(*choices))
+    votes = single_valued(seen, [*group, member], value).groupBy(*group).agg(F.count_if(F.col(value) == a).alias("na"), F.count_if(F.col(value) == b).alias("nb"))
+    return votes.select(*group, decided(F.col("na"), F.col("nb"), choices, margin).alias("verdict"))
+
+
+#: What makes a draw: its players' genders tell the draw's where no name does.
+DRAW_KEY = ["tournament_url", "tournament_name", "draw_name", "draw_team_type"]
+SLOTS = ["winner_1", "winner_2", "loser_1", "loser_2"]
+
+
+def back_fill_genders(rows: DataFrame) -> DataFrame:
+    """Match rows with ``draw_gender`` and the gender of every named player overwritten by their draw's majority.
+
+    Rows whose draw name (or, where it says nothing, tournament name) tells a gender or a mixed draw are left alone, and so are
+    draws without a verdict. ``changed`` counts the fields that differ from before.
+    """
+    draw, tournament = F.col("draw_name"), F.col("tournament_name")
+    silent = ~((draw_gender(draw) != "") | is_mixed_draw(draw) | (draw_gender(tournament) != "") | is_mixed_draw(tournament))
+    marked = rows.withColumns({c: blank(F.col(c)) for c in DRAW_KEY}).withColumn("_open", F.coalesce(silent, F.lit(True)))
+    players = F.inline(F.array(*(F.struct(strip(F.col(f"{s}_name")).alias("_name"), strip(F.col(f"{s}_gender")).alias("_gender")) for s in SLOTS)))
+    named = marked.where("_open").select(*DRAW_KEY, players).where("_name <> ''")
+    verdicts = majority(named, DRAW_KEY, "_name", "_gender", ("M", "F")).where("verdict <> ''")
+    joined = marked.join(verdicts.withColumn("_open", F.lit(True)), [*DRAW_KEY, "_open"], "left")
+    told, spelt = F.col("verdict").isNotNull(), F.when(F.col("verdict") == "M", "Male").otherwise("Female")
+    after = {"draw_gender": F.when(told, spelt).otherwise(F.col("draw_gender"))}
+    after |= {f"{s}_gender": F.when(told & (blank(F.col(f"{s}_name")) != ""), F.col("verdict")).otherwise(F.col(f"{s}_gender")) for s in SLOTS}
+    changed = sum((F.when(v.eqNullSafe(F.col(c)), 0).otherwise(1) for c, v in after.items()), F.lit(0))
+    return joined.withColumn("changed", changed).withColumns(after).select(*rows.columns, "changed")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, to: str, fallback: Column) -> DataFrame:

@@ -65,10 +65,19 @@ def delete_by_ids(df: DataFrame, ids: DataFrame, key: str, allowed: Column) -> t
     return df.join(gone.select(key), key, "left_anti"), gone
 
 
-def replace_all(existing: DataFrame, new: DataFrame, least_share: float = 0.9) -> DataFrame:
-    """The new table unless it shrank under a share of the old one; then the old one."""
-    grown = new.count() >= least_share * existing.count()
-    return new if grown else existing
+class Refused(ValueError):
+    """A replacement that would lose too much."""
+
+
+def replace_all(existing: DataFrame, new: DataFrame, allow_shrink: bool = False) -> DataFrame:
+    """The new table; the old one where the new has under nine tenths of its rows, unless that is allowed.
+
+    A new table without rows is refused before anything is compared. Both are counted in one job.
+    """
+    sizes = existing.select(F.lit(0).alias("n")).unionByName(new.select(F.lit(1).alias("n"))).agg(F.count_if(F.col("n") == 0).alias("old"), F.count_if(F.col("n") == 1).alias("new")).first()
+    if not sizes.new:
+        raise Refused("the new table has no rows")
+    return existing if sizes.new * 10 < sizes.old * 9 and not allow_shrink else new
 
 
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:

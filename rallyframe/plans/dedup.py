@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions.text import canonical_url, collapse, tidy
-from rallyframe.operators import identity, rows
+from rallyframe.operators import identity, rows, store
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES, query, read
 
 #: Match-like rows; the text is valid in Spark and in DuckDB.
@@ -94,27 +94,84 @@ def _sides():
 
 _kept("ded13_sides_any_order", _sides, f"list_sort([{_SQL_NORMAL.format('w1')}, {_SQL_NORMAL.format('w2')}]), list_sort([{_SQL_NORMAL.format('l1')}, {_SQL_NORMAL.format('l2')}]), score")
 
-_HASH = """sha256(concat(day, chr(31), lower(substr('Male', 1, 1)), chr(31), lower(draw), chr(31), CASE WHEN w2 = '' THEN 'singles' ELSE 'doubles' END, chr(31),
-  array_to_string(list_sort(list_filter([lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) FOR x IN [w1, w2, l1, l2]], lambda x: x <> '')), chr(31)), chr(31), lower(regexp_replace(score, ';+$', '')), chr(31),
-  array_to_string(list_sort([lower(tournament), lower(source)]), chr(31))))"""
+def _sql_side(*names: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_filter([{', '.join(_SQL_NORMAL.format(n) for n in names)}], lambda x: x <> '')), '|'), '')"
+
+
+#: The nine parts of a match's identity, in SQL, of the columns of a compact row.
+_HASH = "sha256(concat_ws(chr(31), " + ", ".join([
+    "tournament_date", "lower(substr(trim(draw_gender), 1, 1))", _SQL_NORMAL.format("draw_name"), _SQL_NORMAL.format("draw_team_type"),
+    _sql_side("winner_1_name", "winner_2_name"), _sql_side("loser_1_name", "loser_2_name"),
+    "lower(rtrim(regexp_replace(score, '\\s', '', 'g'), ';'))", _SQL_NORMAL.format("winner_team"), _SQL_NORMAL.format("loser_team"),
+]) + "))"
+
+#: Compact rows as a source gives them; every fifth is seen in all batches.
+COMPACT = {
+    "seq": "seq",
+    "batch": "seq % 3",
+    "again": "seq % 5 = 0",
+    "tournament_date": "day",
+    "tournament_name": "CASE WHEN seq % 11 = 0 THEN concat(tournament, repeat('x', 320)) ELSE tournament END",
+    "tournament_url": "url",
+    "draw_name": "concat('Draw ', draw)",
+    "draw_gender": "CASE WHEN seq % 2 = 0 THEN 'Male' ELSE 'female' END",
+    "draw_team_type": "CASE WHEN w2 = '' THEN 'Singles' ELSE 'Doubles' END",
+    "winner_1_name": "w1",
+    "winner_2_name": "w2",
+    "loser_1_name": "l1",
+    "loser_2_name": "l2",
+    "winner_1_college": "tournament",
+    "score": "score",
+    "winner_team": "CASE WHEN seq % 13 = 0 THEN repeat('Long Team ', 25) WHEN seq % 7 = 0 THEN concat('Team  ', w1_id, ' ') ELSE concat('Team ', w1_id) END",
+    "loser_team": "concat('team ', l1_id)",
+    "outcome": "round",
+}
+_COMPACT = f"SELECT {', '.join(f'{sql} AS {name}' for name, sql in COMPACT.items())} FROM ({MATCHES})"
 
 
-def with_hash(df: DataFrame) -> DataFrame:
-    kind = F.when(F.col("w2") == "", "Singles").otherwise("Doubles")
-    return df.withColumn("match_hash", identity.identity_hash(F.col("day"), F.lit("Male"), F.col("draw"), kind, [F.col(n) for n in NAMES], F.col("score"), [F.col("tournament"), F.col("source")]))
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(spark, sf_dir).selectExpr(*(f"{sql} AS {name}" for name, sql in COMPACT.items()))
 
 
-@query("ded01_identity_hash", f"WITH m AS ({MATCHES}) SELECT seq, {_HASH} AS match_hash FROM m")
+@query("ded01_identity_hash", f"SELECT seq, {_HASH} AS match_hash FROM ({_COMPACT})")
 def ded01(spark, sf_dir):
     """The hash of every row."""
-    return with_hash(matches(spark, sf_dir)).select("seq", "match_hash")
+    return identity.widened(compact(spark, sf_dir), "seq").select("seq", identity.canonical_hash().alias("match_hash"))
+
+
+_STORED = f"""SELECT seq, {_HASH} AS match_hash, tournament_date AS date_norm, substr(trim(tournament_name), 1, 300) AS tournament_name, substr(draw_name, 1, 120) AS draw_name, substr(draw_gender, 1, 20) AS draw_gender,
+  substr(trim(winner_team), 1, 200) AS winner_team, substr(loser_team, 1, 200) AS loser_team, 'scrape' AS source, 'run-1' AS first_seen_run, batch, again FROM ({_COMPACT})"""
 
 
-@query("snk06_insert_new", f"WITH m AS (SELECT *, {_HASH} AS match_hash FROM ({MATCHES})) SELECT seq, match_hash FROM m WHERE source = 'feed' AND match_hash NOT IN (SELECT match_hash FROM m WHERE source = 'import') QUALIFY row_number() OVER (PARTITION BY match_hash ORDER BY seq) = 1")
+@query("snk06_insert_new", f"WITH m AS ({_STORED}) SELECT * EXCLUDE (batch, again) FROM m WHERE (batch = 1 OR again) AND match_hash NOT IN (SELECT match_hash FROM m WHERE batch = 0) QUALIFY row_number() OVER (PARTITION BY match_hash ORDER BY seq) = 1")
 def snk06(spark, sf_dir):
-    """What a feed adds to the imported store: first seen wins, known hashes are left alone."""
-    m = with_hash(matches(spark, sf_dir))
-    return rows.only_new(m.where("source = 'feed'"), m.where("source = 'import'"), "match_hash", ["seq"]).select("seq", "match_hash")
+    """What a run adds to an imported store, as it is stored: first seen wins, known hashes are left alone."""
+    c = compact(spark, sf_dir)
+    new = store.stored_row(identity.widened(c.where("batch = 1 OR again"), "seq"), "scrape", "run-1", "seq").drop("data")
+    known = identity.widened(c.where("batch = 0")).select(identity.canonical_hash().alias("match_hash"))
+    return rows.only_new(new, known, "match_hash", ["seq"])
+
+
+@query("snk06_three_batches", f"""WITH m AS ({_STORED}), b AS (SELECT n, m.* FROM m JOIN (VALUES (0), (1), (2)) AS v(n) ON batch = n OR again), f AS (SELECT match_hash, min(n) AS first FROM b GROUP BY 1)
+  SELECT CAST(b.n AS int) AS batch, count(DISTINCT match_hash) FILTER (WHERE first = b.n) AS new_rows, count(*) - count(DISTINCT match_hash) FILTER (WHERE first = b.n) AS skipped FROM b JOIN f USING (match_hash) GROUP BY 1""")
+def snk06_batches(spark, sf_dir):
+    """Three batches into a stored index of hashes: what each adds and how many of its rows were known or repeats."""
+    c, kept, outcome = compact(spark, sf_dir), store.HashStore(spark), []
+    for n in range(3):
+        batch = store.stored_row(identity.widened(c.where((F.col("batch") == n) | F.col("again")), "seq"), "scrape", f"run-{n}", "seq")
+        _, new, skipped = kept.insert(batch, ["seq"])
+        outcome.append((n, new, skipped))
+    kept.drop()
+    return spark.createDataFrame(outcome, "batch int, new_rows bigint, skipped bigint")
+
+
+_WIDE = {c: "''" for c in identity.CANONICAL} | {c: f"trim({c})" for c in COMPACT if c in identity.CANONICAL} | {c: f"'{v}'" for c, v in identity.CONSTANTS.items()} | {"date": "tournament_date", "tournament_start_date": "tournament_date", "tournament_end_date": "tournament_date", "draw_type": "draw_team_type"}
+
+
+@query("prj04_canonical_row", f"SELECT seq, {', '.join(f'{sql} AS {c}' for c, sql in _WIDE.items())} FROM ({_COMPACT})")
+def prj04_canonical(spark, sf_dir):
+    """All canonical columns of a compact row."""
+    return identity.canonical_row(identity.widened(compact(spark, sf_dir), "seq"), identity.CANONICAL, "seq")
 
 
 @query("jon07_anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

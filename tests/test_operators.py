@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.operators import evidence, identity, pages, rows
+from rallyframe.operators import evidence, identity, pages, rows, store
 from rallyframe.sources import files, html
 from rallyframe.streaming import flows
 
@@ -17,12 +19,19 @@ def match(date, players, score="6-3;", teams=("A", "B"), gender="Male"):
 def hashes(spark, data):
     df = spark.createDataFrame(data, "d string, g string, w string, k string, p1 string, p2 string, p3 string, p4 string, s string, t1 string, t2 string")
     c = F.col
-    return [r[0] for r in df.select(identity.identity_hash(c("d"), c("g"), c("w"), c("k"), [c(f"p{i}") for i in range(1, 5)], c("s"), [c("t1"), c("t2")])).collect()]
+    return [r[0] for r in df.select(identity.identity_hash(c("d"), c("g"), c("w"), c("k"), [c("p1"), c("p2")], [c("p3"), c("p4")], c("s"), c("t1"), c("t2"))).collect()]
+
 
+def test_identity_ignores_partners_order_and_spelling(spark):
+    ana = match("2026-05-04", ("Ana  B", "Bo C", "Di E", "Fe G"))
+    one, partners, rematch, swapped, teams, joined = hashes(spark, [ana, match("5/4/26", ("bo c", "ANA B", "Fe G", "Di E"), "6-3", ("a", " b")), match("2026-05-05", ana[4:8]), match("2026-05-04", ("Di E", "Fe G", "Ana B", "Bo C")), match("2026-05-04", ana[4:8], teams=("B", "A")), match("2026-05-04", ("Ana B", "", "Bo C", "Di E"))])
+    assert one == partners and len({one, rematch, swapped, teams, joined}) == 5
 
-def test_identity_ignores_order_and_spelling(spark):
-    one, swapped, rematch = hashes(spark, [match("2026-05-04", ("Ana  B", "Bo C", "Di E", "Fe G")), match("5/4/2026", ("bo c", "ANA B", "Fe G", "Di E"), "6-3", ("b", "a")), match("2026-05-05", ("Ana  B", "Bo C", "Di E", "Fe G"))])
-    assert one == swapped != rematch
+
+def test_identity_is_the_digest_of_its_nine_parts(spark):
+    got = hashes(spark, [match("May 4, 1999", ("Bo C", "Ana  B", None, "Di E"), " 6-3, 6-4 ;", ("Team  A", None), "Female")])
+    parts = ["1999-05-04", "f", "ms", "doubles", "ana b|bo c", "di e", "6-3,6-4", "team a", ""]
+    assert got == [hashlib.sha256("\x1f".join(parts).encode()).hexdigest()]
 
 
 def test_identity_of_nulls(spark):
@@ -30,6 +39,23 @@ def test_identity_of_nulls(spark):
     assert a == b and len(a) == 64
 
 
+def test_store_takes_each_match_once(spark):
+    kept = store.HashStore(spark, "k", buckets=4)
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "n int, k string")
+    new, count, skipped = kept.insert(first, ["n"])
+    assert {tuple(r) for r in new.collect()} == {(1, "a"), (2, "b")} and (count, skipped) == (2, 1)
+    assert kept.insert(first, ["n"])[1:] == (0, 3)
+    more = spark.createDataFrame([(4, "b"), (5, "c")], "n int, k string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = kept.unseen(more, ["n"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert kept.insert(more, ["n"])[1:] == (1, 1)
+    assert sorted(tuple(r) for r in kept.table().collect()) == [(1, "a"), (2, "b"), (5, "c")]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # between the join and the stored table there is a sort and no exchange
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan and "Exchange" not in plan[plan.rindex("Sort [") :]
+    kept.drop()
+
+
 def test_first_seen_and_only_new(spark):
     df = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, None, "z"), (2, None, "z")], "n int, k string, v string")
     assert {(r.k, r.n, r.v) for r in rows.first_seen(df, [F.col("k")], ["n"]).collect()} == {("a", 1, "y"), (None, 2, "z")}
@@ -42,9 +68,27 @@ def test_conflicts_go_blank_in_any_order(spark):
     assert {r.k: r.v for r in df.groupBy("k").agg(evidence.agreeing(F.col("v")).alias("v")).collect()} == {"a": "x", "b": "", "c": ""}
 
 
-def test_majority_needs_its_margin(spark):
-    df = spark.createDataFrame([("g", "p1", "F"), ("g", "p2", "F"), ("g", "p3", ""), ("h", "q1", "M"), ("h", "q2", "F"), ("h", "q3", "M"), ("h", "q1", "F")], "g string, p string, v string")
-    assert {r.g: r.verdict for r in evidence.majority(df, "g", "p", "v", ("M", "F")).collect()} == {"g": "F", "h": ""}
+def test_majority(spark):
+    """A side without opposition decides, one vote too; two against one does not, three against one does."""
+    votes = {"alone": "F", "empty": " ", "2:1": "MMF", "3:1": "MMMF", "0:2": "FF", "tie": "MF"}
+    data = [(g, f"{g}{i}", v) for g, vs in votes.items() for i, v in enumerate(vs)] + [("both", "p", "M"), ("both", "p", "F"), ("both", "q", "F"), ("other", "p", "X"), ("other", "q", "M")]
+    df = spark.createDataFrame(data, "g string, p string, v string")
+    assert {r.g: r.verdict for r in evidence.majority(df, ["g"], "p", "v", ("M", "F")).collect()} == {"alone": "F", "2:1": "", "3:1": "M", "0:2": "F", "tie": "", "both": "F", "other": "M"}
+
+
+def test_genders_are_written_over(spark):
+    columns = [*evidence.DRAW_KEY, "draw_gender", *(f"{s}_{c}" for s in evidence.SLOTS for c in ("name", "gender"))]
+    data = [
+        ("u", "Open", "Group 1", "Singles", "Male", "Ana", "F", "", "", "Bo", "M ", None, None),
+        ("u", "Open", "Group 1", "Singles", "Male", "Cy", "F", "", "", "Di", "F", None, None),
+        ("u", "Open", "Group 1", "Singles", "", "Bo", "F", "", "x", "Eve", "F", None, None),
+        ("u", "Girls Cup", "Group 1", "Singles", "Male", "Ana", "M", "", "", "Bo", "M", None, None),
+        ("u", "Open", "Mixed", "Singles", None, "Ana", "M", "", "", "Bo", "M", None, None),
+        ("v", "Open", "Group 1", None, None, "Ana", "M", "", "", "Bo", "F", None, None),
+    ]
+    got = evidence.back_fill_genders(spark.createDataFrame(data, ", ".join(f"{c} string" for c in columns))).orderBy("tournament_url", "tournament_name", "draw_name", "winner_1_name").collect()
+    found = [(r.draw_gender, r.winner_1_gender, r.winner_2_gender, r.loser_1_gender, r.changed) for r in got]
+    assert found == [("Male", "M", "", "M", 0), ("Female", "F", "", "F", 2), ("Female", "F", "x", "F", 1), ("Female", "F", "", "F", 1), (None, "M", "", "M", 0), (None, "M", "", "F", 0)]
 
 
 def test_pages_clamp(spark):
@@ -70,6 +114,10 @@ def test_guarded_delete_and_update(spark):
 def test_replace_all_guard(spark):
     assert rows.replace_all(spark.range(100), spark.range(89)).count() == 100
     assert rows.replace_all(spark.range(100), spark.range(90)).count() == 90
+    assert rows.replace_all(spark.range(11), spark.range(9)).count() == 11 and rows.replace_all(spark.range(11), spark.range(9), True).count() == 9
+    assert rows.replace_all(spark.range(0), spark.range(1)).count() == 1
+    with pytest.raises(rows.Refused):
+        rows.replace_all(spark.range(0), spark.range(0))
 
 
 def test_csv_with_bom_aliases_and_guard(spark, tmp_path):
