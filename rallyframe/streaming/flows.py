@@ -1,4 +1,4 @@
-"""Event streams: tails, windows with watermarks, sessions, gates with hysteresis, admission from a queue.
+"""Event streams: tails, windows with watermarks, sessions, gates with hysteresis.
 
 Each flow is a function from a (batch or streaming) DataFrame to a DataFrame. ``drained`` runs one over what a source holds
 now and keeps the result as a table in the shared folder.
@@ -6,9 +6,8 @@ now and keeps the result as a table in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,30 +48,6 @@ def gate(load: Column, order: list[str], key: str, close_at: int, open_at: int,
     return F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(known))
 
 
-def admitted(events: DataFrame, key: str, kind: str, most: int, order: list[str]) -> DataFrame:
-    """(key, started, waiting) after each micro-batch: jobs of a queue start in order while fewer than ``most`` run.
-
-    ``kind``: ``start`` asks for a place, anything else gives one back. The events of a micro-batch are taken by ``order``; only
-    three counts a key are kept as state.
-    """
-
-    def step(names: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        running, waiting, started = state.get if state.exists else (0, 0, 0)
-        now = pd.concat([b[[*order, kind]] for b in batches]).sort_values(order, kind="stable")
-        for k in now[kind]:
-            if k == "start":
-                waiting += 1
-            else:
-                running = max(0, running - 1)
-            moved = min(waiting, most - running)
-            running, waiting, started = running + moved, waiting - moved, started + moved
-        state.update((running, waiting, started))
-        yield pd.DataFrame({key: [names[0]], "started": [started], "waiting": [waiting]})
-
-    kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, started bigint, waiting bigint", "running bigint, waiting bigint, started bigint", "update", "NoTimeout")
-
-
 def drained(spark: SparkSession, path: str, flow: Callable[[DataFrame], DataFrame], mode: str = "complete", key: tuple[str, ...] = ()) -> DataFrame:
     """Runs a flow over all rows of a Parquet source as a stream and returns its last result as a table.
 
