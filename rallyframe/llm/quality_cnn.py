@@ -5,8 +5,9 @@ response in a chunk is kept; over the chunks their mean and their maximum make t
 unit turns these into a probability. A filter over bytes is a sum of table rows (one table a position), so a pass over the
 text is a handful of look-ups and additions, and training follows the gradient through each chunk's strongest place only.
 
-The training rows are a bounded sample of labelled rows the caller allows, of texts of any length: of a text of more than
-MOST_CHUNKS chunks that many, spread over all of it, are sent to training. Ids, language and source are never inputs.
+The training rows are a bounded sample of labelled rows the caller allows, of texts of any length. A step of training sees
+at most TRAIN_CHUNKS chunks of a text; each epoch's are drawn anew from all chunks of the whole text, in the task that holds it.
+Ids, language and source are never inputs.
 
 Defined cases: null and empty texts have no chunk: their features are zero and their score is the bias's; short texts are one
 padded chunk; one label only or none gives the share of ones (0.5 without labels); equal texts score alike beside any others;
@@ -31,7 +32,6 @@ FILTERS, WIDTH = 16, 5
 BLOCK, PER_CHUNK, STRIDE = 128, 4, 3
 MOST_LABELLED = 3000
 EPOCHS, GROUP, TRAIN_CHUNKS = 6, 32, 8
-MOST_CHUNKS = EPOCHS * TRAIN_CHUNKS
 
 
 @dataclass
@@ -95,20 +95,27 @@ def predict(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
-def chunks_of(text: bytes, most: int = MOST_CHUNKS) -> list[bytes]:
-    """A text's chunks for training; of more than ``most`` that many, drawn over the whole text by a hash of it."""
+def chunks_of(text: bytes) -> list[bytes]:
+    """A text's chunks for training: all where a step takes all, else each epoch's in turn, drawn from the whole text.
+
+    The draw follows from a hash of the text, so a task that runs again draws the same.
+    """
     if not text:
         return []
     count = max(1, -(-(len(text) - BLOCK * PER_CHUNK) // (BLOCK * STRIDE)) + 1)
     which = np.arange(count)
-    if count > most:
-        which = np.sort(np.random.default_rng(xxhash.xxh64_intdigest(text)).choice(count, most, replace=False))
+    if count > TRAIN_CHUNKS:
+        rng = np.random.default_rng(xxhash.xxh64_intdigest(text))
+        which = np.concatenate([rng.choice(count, TRAIN_CHUNKS, replace=False) for _ in range(EPOCHS)])
     return [text[c * BLOCK * STRIDE : c * BLOCK * STRIDE + BLOCK * PER_CHUNK] for c in which.tolist()]
 
 
+def chunks_of_epoch(chunks: list[bytes], epoch: int) -> list[bytes]:
+    return chunks if len(chunks) <= TRAIN_CHUNKS else chunks[epoch * TRAIN_CHUNKS : (epoch + 1) * TRAIN_CHUNKS]
+
+
 def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> Network:
-    """Adam on the logistic loss, classes weighted to equal shares. ``texts``: the chunks of each; a step sees at most
-    TRAIN_CHUNKS random ones of a text."""
+    """Adam on the logistic loss, classes weighted to equal shares. ``texts``: what ``chunks_of`` gives of each."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     texts, labels = [t for t in texts if t], np.array([y for t, y in zip(texts, labels, strict=True) if t], float)
@@ -122,14 +129,14 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> Netwo
     params = [net.tables, net.offset, net.out, np.zeros(1, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t, steps = 0, EPOCHS * ((len(texts) + GROUP - 1) // GROUP)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), GROUP):
             ids = order[a : a + GROUP]
             parts, owner = [], []
             for k, i in enumerate(ids):
-                for c in rng.permutation(len(texts[i]))[:TRAIN_CHUNKS]:
-                    parts.append(np.frombuffer(texts[i][c].ljust(size, b"\0"), np.uint8))
+                for c in chunks_of_epoch(texts[i], epoch):
+                    parts.append(np.frombuffer(c.ljust(size, b"\0"), np.uint8))
                     owner.append(k)
             x, owner = np.stack(parts), np.array(owner)
             flat = np.concatenate((x.reshape(-1), np.zeros(WIDTH - 1, np.uint8)))
@@ -164,7 +171,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> Netwo
 
 
 def fit(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "label", most: int = MOST_LABELLED) -> Network:
-    """Trains on at most ``most`` labelled rows: those of smallest id hash; each sends at most MOST_CHUNKS chunks."""
+    """Trains on at most ``most`` labelled rows: those of smallest id hash; each sends the chunks that its epochs draw."""
     bounded_batches(docs.sparkSession)
     sample = training.where(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", F.xxhash64("_text").alias("_h"), "_y")

@@ -114,7 +114,17 @@ def test_long_labelled_texts_are_learned_from(spark):
     net = quality_cnn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id bigint, label int"))
     got = {r.doc_id: r.score for r in quality_cnn.score(docs, net).collect()}
     assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(150, 200))
-    assert all(len(quality_cnn.chunks_of(t.encode())) <= quality_cnn.MOST_CHUNKS for _, t in rows[:2])
+    assert all(len(quality_cnn.chunks_of(t.encode())) <= quality_cnn.EPOCHS * quality_cnn.TRAIN_CHUNKS for _, t in rows[:2])
+
+
+def test_epochs_draw_on_the_whole_text():
+    text = b"".join(b"%07d " % i for i in range(1 << 17))  # 1 MB, every place told by its number
+    chunks = quality_cnn.chunks_of(text)
+    at = [int(c[:7]) for e in range(quality_cnn.EPOCHS) for c in quality_cnn.chunks_of_epoch(chunks, e)]
+    assert len(at) == quality_cnn.EPOCHS * quality_cnn.TRAIN_CHUNKS and chunks == quality_cnn.chunks_of(text)
+    assert {a * 8 // (1 << 17) for a in at} == set(range(8)) and len({tuple(at[i : i + 8]) for i in range(0, len(at), 8)}) == quality_cnn.EPOCHS
+    short = quality_cnn.chunks_of(text[:2000])
+    assert all(quality_cnn.chunks_of_epoch(short, e) == short for e in range(quality_cnn.EPOCHS)) and short[-1] == text[:2000][(len(short) - 1) * 384 :]
 
 
 def test_kept_columns_may_clash_with_inner_names_not_with_outputs(spark):
