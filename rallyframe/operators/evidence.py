@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.classify import draw_gender, is_mixed_draw
-from rallyframe.functions.text import blank, name_tokens, names_match, strip
+from rallyframe.functions.text import blank, name_tokens, names_match, normal, strip
 
 
 def agreeing(c: Column) -> Column:
@@ -15,6 +15,37 @@ def agreeing(c: Column) -> Column:
     return F.when(F.min(v) == F.max(v), F.max(v)).otherwise("")
 
 
+#: The longest id a member may have.
+LONGEST_ID = 255
+
+
+def merged_members(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row a trimmed id with each field's agreed value; ids that are blank, too long or damaged are left out.
+
+    Ids are texts: leading zeros count.
+    """
+    own = strip(F.col(key))
+    fit = (own != "") & (F.char_length(own) <= LONGEST_ID) & ~own.contains("\ufffd")
+    return rows.withColumn(key, own).where(fit).groupBy(key).agg(*(agreeing(F.col(f)).alias(f) for f in fields))
+
+
+def order_of_play(scheduled: DataFrame, ties: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(draw, id, round) of scheduled matches whose two nations have a tie on a draw sheet.
+
+    ``ties`` (draw, a, b, round, seq): of a pair the last one of a draw counts, if it has two different nations. A sheet's event
+    code must be the match's; its age and event count, in any spelling, only where both have one. The round is the
+    tie's, else the match's group, else its classification, else blank.
+    """
+    codes = lambda a, b: F.array_sort(F.array_distinct(F.filter(F.array(a, b), lambda c: c.isNotNull() & (c != ""))))
+    pairs = ties.withColumn("pair", codes(F.col("a"), F.col("b"))).where(F.size("pair") == 2).groupBy("draw", "pair").agg(F.max_by("round", "seq").alias("tie_round"))
+    played = scheduled.withColumn("pair", codes(F.col("a"), F.col("b"))).where(F.size("pair") == 2)
+    s = sheets.select("draw", F.col("event_code").alias("_code"), F.col("age").alias("_age"), F.col("event").alias("_event"))
+    agree = lambda mine, theirs: (blank(mine) == "") | (blank(theirs) == "") | (normal(mine) == normal(theirs))
+    met = played.join(pairs, "pair").join(s, "draw").where((blank(F.col("_code")) == "") | F.col("_code").eqNullSafe(F.col("event_code")))
+    met = met.where(agree(F.col("_age"), F.col("age")) & agree(F.col("_event"), F.col("event")))
+    return met.select("draw", "id", F.coalesce(*(F.nullif(blank(F.col(c)), F.lit("")) for c in ("tie_round", "round_group", "classification")), F.lit("")).alias("round"))
+
+
 def single_valued(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) of the keys that only ever show one non-blank value."""
     return rows.groupBy(*keys).agg(agreeing(F.col(value)).alias(value)).where(F.col(value) != "")

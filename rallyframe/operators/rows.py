@@ -123,6 +123,26 @@ def numbered(df: DataFrame, lead: str, order: list[Column], rank: str = "place",
     return out.drop("_bucket", "_n", "_s")
 
 
+def carried(df: DataFrame, key: str, order: list[str], value: Column, name: str, ranges: int = 64) -> DataFrame:
+    """``df`` with the last non-null ``value`` at or before each row of its key, by ``order`` (nulls first).
+
+    ``order`` begins with a numeric or time column that is not null. Its values are cut into ranges; each key's last value of
+    each range goes on to its later ranges, of which there are few, and every range of a key is finished by itself: a key
+    with half of all rows is as many pieces as there are ranges.
+    """
+    lead = order[0]
+    moment = dict(df.dtypes)[lead].startswith("timestamp")
+    at = (F.unix_micros(F.col(lead).cast("timestamp")) if moment else F.col(lead)).cast("double")
+    cuts = _cuts(df, at, ranges)
+    rows = df.withColumn("_range", F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < at)) if cuts else F.lit(0)).withColumn("_value", value)
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(last.alias("_last")).select("_key", "_of", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    within = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.join(ends, rows[key].eqNullSafe(ends._key) & (rows._range == ends._of), "left")
+    return met.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(within), "_before")).drop("_range", "_value", "_key", "_of", "_before")
+
+
 def dealt(df: DataFrame, place: str, ways: int, name: str = "lane") -> DataFrame:
     """Round-robin lanes (strided slices) of rows that have a place from 1."""
     return df.withColumn(name, ((F.col(place) - 1) % ways).cast("int"))

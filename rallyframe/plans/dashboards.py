@@ -197,6 +197,31 @@ def unordered_pair(spark, sf_dir):
     return o.join(n.groupBy("key").agg(F.max("tie").alias("tie")), "key").select("o_orderkey", "tie")
 
 
+_TIES = "SELECT o_orderkey AS seq, o_custkey % 12 AS draw, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('N', CAST(o_orderkey % 9 AS string)) END AS a, concat('N', CAST(o_custkey % 7 AS string)) AS b, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('Round ', CAST(o_orderkey % 5 AS string)) END AS round FROM orders"
+_SHEETS = "SELECT n_nationkey AS draw, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat('E', CAST(n_nationkey % 4 AS string)) END AS event_code, CASE WHEN n_nationkey % 2 = 0 THEN 'Under  14 ' ELSE '' END AS age, CASE WHEN n_nationkey % 5 < 3 THEN 'Boys Singles' ELSE NULL END AS event FROM nation WHERE n_nationkey < 12"
+_SCHEDULED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('N', CAST(o_custkey % 9 AS string)) END AS a, concat('N', CAST(o_orderkey % 8 AS string)) AS b, concat('E', CAST(o_orderkey % 4 AS string)) AS event_code, CASE o_orderkey % 3 WHEN 0 THEN 'UNDER 14' WHEN 1 THEN 'Under 16' END AS age, CASE o_orderkey % 4 WHEN 0 THEN 'boys  singles' WHEN 1 THEN 'Girls Singles' ELSE '' END AS event, CASE WHEN o_orderkey % 2 = 0 THEN 'Group A' ELSE '' END AS round_group, CASE WHEN o_orderkey % 5 > 1 THEN 'Main' END AS classification FROM orders"
+
+
+def _sql_norm(c: str) -> str:
+    return f"lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')))"
+
+
+@query("jon12_order_of_play", f"""WITH t AS (SELECT draw, least(a, b) AS x, greatest(a, b) AS y, arg_max(round, seq) AS round FROM ({_TIES}) WHERE a <> '' AND b <> '' AND a <> b GROUP BY ALL)
+  SELECT d.draw, m.id, CASE WHEN t.round <> '' THEN t.round WHEN round_group <> '' THEN round_group ELSE coalesce(classification, '') END AS round
+  FROM ({_SCHEDULED}) m JOIN t ON t.x = least(m.a, m.b) AND t.y = greatest(m.a, m.b) AND m.a <> m.b AND m.a IS NOT NULL JOIN ({_SHEETS}) d ON d.draw = t.draw
+  WHERE (d.event_code = '' OR d.event_code = m.event_code) AND (coalesce(d.age, '') = '' OR coalesce(m.age, '') = '' OR {_sql_norm("d.age")} = {_sql_norm("m.age")}) AND (coalesce(d.event, '') = '' OR coalesce(m.event, '') = '' OR {_sql_norm("d.event")} = {_sql_norm("m.event")})""")
+def order_of_play(spark, sf_dir):
+    """Scheduled matches beside the ties of the draw sheets that have their two nations, with the round that is known."""
+    o, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "nation")
+
+    def select(df, sql):
+        fields, _, rest = sql.removeprefix("SELECT ").rpartition(" FROM ")
+        _, _, condition = rest.partition(" WHERE ")
+        return df.where(condition or "true").select(F.expr(f"struct({fields})").alias("r")).select("r.*")
+
+    return evidence.order_of_play(select(o, _SCHEDULED), select(o, _TIES), select(n, _SHEETS))
+
+
 @query("jon13_alias_ids", "WITH e AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN concat('local_', CAST(o_orderkey AS string)) ELSE CAST(o_orderkey AS string) END AS id, concat('n', CAST(o_custkey AS string)) AS name FROM orders), r AS (SELECT name, arg_min(id, seq) AS real FROM e WHERE NOT starts_with(id, 'local_') GROUP BY 1) SELECT seq, CASE WHEN starts_with(id, 'local_') THEN coalesce(real, id) ELSE id END AS id FROM e LEFT JOIN r USING (name)")
 def alias(spark, sf_dir):
     own = F.col("o_orderkey").cast("string")
@@ -252,11 +277,10 @@ def other_running(spark, sf_dir):
 
 @query("jon22_as_of", "SELECT o_orderkey, e.event_id FROM orders ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) AS e ON user_id = o_custkey AND o_orderdate + INTERVAL 26 YEAR >= e.ts")
 def as_of(spark, sf_dir):
-    """The last event at or before each order's time, by one pass over both in time order per user."""
+    """The last event at or before each order's time: both in time order by user, a hot user in pieces."""
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.expr("INTERVAL 26 YEARS")).alias("ts"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("o_orderkey").asc_nulls_first(), "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where(F.col("o_orderkey").isNotNull()).select("o_orderkey", "event_id")
+    return rows.carried(o.unionByName(e), "user_id", ["ts", "o_orderkey", "event_id"], F.col("event_id"), "last_event").where(F.col("o_orderkey").isNotNull()).select("o_orderkey", F.col("last_event").alias("event_id"))
 
 
 @query("jon23_full_outer", "SELECT coalesce(c_custkey, s_suppkey) AS id, c_name, s_name FROM customer FULL JOIN supplier ON s_suppkey = c_custkey")
@@ -375,6 +399,16 @@ def conflict_merge(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(evidence.agreeing(F.col("o_orderpriority")).alias("priority"), evidence.agreeing(F.col("o_orderstatus")).alias("status"))
 
 
+_MEMBERS = "SELECT CASE o_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN concat(' 00', CAST(o_custkey AS string), ' ') WHEN 2 THEN concat('bad', '�', CAST(o_custkey AS string)) WHEN 3 THEN repeat(CAST(o_custkey % 10 AS string), 255 + CAST(o_custkey % 2 AS int)) ELSE CAST(o_custkey AS string) END AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS dob, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CASE WHEN o_custkey % 4 = 0 THEN 'F' ELSE 'M' END END AS gender FROM orders"
+
+
+@query("agg12_member_registry", f"SELECT trim(id) AS id, CASE WHEN count(DISTINCT nullif(dob, '')) = 1 THEN max(nullif(dob, '')) ELSE '' END AS dob, CASE WHEN count(DISTINCT nullif(gender, '')) = 1 THEN max(nullif(gender, '')) ELSE '' END AS gender FROM ({_MEMBERS}) WHERE trim(id) <> '' AND length(trim(id)) <= 255 AND NOT contains(id, '�') GROUP BY 1")
+def member_registry(spark, sf_dir):
+    """Members by an id that is fit to be one, with what all their rows agree on."""
+    o = read(spark, sf_dir, "orders").select(F.expr(f"struct({_MEMBERS.removeprefix('SELECT ').removesuffix(' FROM orders')})").alias("r")).select("r.*")
+    return evidence.merged_members(o, "id", ["dob", "gender"])
+
+
 @query("agg13_best_and_worst", "SELECT l_orderkey, arg_max(l_suppkey, (l_quantity, -l_linenumber, -l_suppkey)) AS best, arg_min(l_suppkey, (l_quantity, l_linenumber, l_suppkey)) AS worst FROM lineitem GROUP BY 1")
 def best_and_worst(spark, sf_dir):
     """Ties go to the first of either end, told by an ordinal."""

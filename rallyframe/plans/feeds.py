@@ -36,11 +36,8 @@ def registry_narrow(spark, sf_dir):
     path = staged(spark, "registry")
     s = read(spark, sf_dir, "supplier")
     tail = F.when(F.col("s_suppkey") % 3 == 0, ",1.0,x,y,z,w").when(F.col("s_suppkey") % 3 == 1, ",1.0").otherwise(",1.0,x,y,z,w,v")
-    s.select(F.concat("s_suppkey", F.lit(","), "s_name", tail).alias("value")).coalesce(4).unionByName(spark.createDataFrame([], "value string")).write.text(path)
-    head = staged(spark, "registry")
-    lines = spark.read.text(path)
-    lines.repartition(1).select(F.lit(1).alias("o"), "value").unionByName(spark.createDataFrame([(0, "ID,Name,Balance,A,B,C,D")], "o int, value string")).coalesce(1).sortWithinPartitions("o").select("value").write.text(head)
-    return files.read_registry(spark, head, ["id", "name"])
+    s.select(F.concat("s_suppkey", F.lit(","), "s_name", tail).alias("value")).write.text(path)
+    return files.read_registry(spark, path, ["id", "name"], header="ID,Name,Balance,A,B,C,D")
 
 
 @query("src08_registry_checked", "SELECT CAST(s_suppkey AS string) AS id, s_name AS name FROM supplier")

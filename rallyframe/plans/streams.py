@@ -66,7 +66,7 @@ _GATE = "CASE WHEN event_id % 40 >= 30 THEN false WHEN event_id % 40 <= 10 THEN
 
 @query("str05_gate_with_hysteresis", f"SELECT event_id, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), true) AS open FROM (SELECT *, {_GATE} AS d FROM events)")
 def gate(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", flows.gate(F.col("event_id") % 40, ["ts", "event_id"], "user_id", 30, 10).alias("open"))
+    return flows.gated(read(spark, sf_dir, "events").select("event_id", "ts", "user_id"), F.col("event_id") % 40, ["ts", "event_id"], "user_id", 30, 10).select("event_id", "open")
 
 
 JOBS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,17 +56,24 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def read_registry(spark: SparkSession, paths: str | list[str], required: list[str], encoding: str = "UTF-8") -> DataFrame:
+def read_registry(spark: SparkSession, paths: str | list[str], required: list[str], encoding: str = "UTF-8", header: str | None = None) -> DataFrame:
     """A CSV registry whose header must have ``required``; rows of another width than the header are left out.
 
-    All columns are parsed, whichever are asked for: a row's width shows only then.
+    ``header``: the header line of files that have none themselves. All columns are parsed, whichever are asked for: a row's width shows
+    only then. Missing columns are an error that names them all, and so is a header with two columns of one name.
     """
-    raw = spark.read.option("columnPruning", "false").csv(paths, header=True, encoding=encoding, mode="DROPMALFORMED", escape='"')
-    have = {header_key(c): c for c in raw.columns}
-    missing = [c for c in required if c not in have]
-    if missing:
+    names = next(csv.reader([header])) if header is not None else None
+    if names is None:
+        lines = list(headers(spark, paths, encoding, multi_line=False))
+        names = next(csv.reader([lines[0]]), []) if lines else []
+    keys = [header_key(n) for n in names]
+    if twice := sorted({k for k in keys if k and keys.count(k) > 1}):
+        raise ValueError(f"duplicate columns: {', '.join(twice)}")
+    if missing := [c for c in required if c not in keys]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return raw.select(*(F.coalesce(F.col(f"`{have[c]}`"), F.lit("")).alias(c) for c in required))
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    raw = spark.read.schema(schema).option("columnPruning", "false").csv(paths, header=header is None, enforceSchema=True, encoding=encoding, mode="DROPMALFORMED", escape='"')
+    return raw.select(*(F.coalesce(F.col(f"c{keys.index(c)}"), F.lit("")).alias(c) for c in required))
 
 
 def write_csv(df: DataFrame, path: str, labels: bool = True, guard: bool = True) -> None:

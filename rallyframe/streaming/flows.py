@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rallyframe.operators.rows import carried
 from rallyframe.sources.staging import staged
 
 
@@ -48,6 +49,12 @@ def gate(load: Column, order: list[str], key: str, close_at: int, open_at: int,
     return F.coalesce(F.last(decided, ignorenulls=True).over(w), F.lit(known))
 
 
+def gated(events: DataFrame, load: Column, order: list[str], key: str, close_at: int, open_at: int, known: bool = True) -> DataFrame:
+    """``events`` with ``open``, as ``gate`` tells it, also where one key has most of them."""
+    decided = F.when(load >= close_at, False).when(load <= open_at, True)
+    return carried(events, key, order, decided, "open").withColumn("open", F.coalesce("open", F.lit(known)))
+
+
 def drained(spark: SparkSession, path: str, flow: Callable[[DataFrame], DataFrame], mode: str = "complete", key: tuple[str, ...] = ()) -> DataFrame:
     """Runs a flow over all rows of a Parquet source as a stream and returns its last result as a table.
 

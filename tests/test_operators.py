@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import random
+import re
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.operators import evidence, identity, pages, rows, store
+from rallyframe.operators import evidence, identity, pages, rows, store, windows
+from rallyframe.plans.catalog import QUERIES
 from rallyframe.sources import files, html
 from rallyframe.streaming import flows
 
@@ -223,3 +228,89 @@ def test_pages_end_where_they_should(spark):
     assert pages.until_short(df.limit(0), "s", "p", 2).count() == 0
     urls = spark.createDataFrame([("https://A.Example.org:8/x", True), ("http://example.org.evil.com/", False), ("http://u:p@example.org", True), ("ftp://example.org", False), ("http://x@evil.com/example.org", False), (None, False), ("", False)], "u string, w boolean")
     assert all(r.got == r.w for r in urls.withColumn("got", pages.host_allowed(F.col("u"), ("example.org",))).collect())
+
+
+def test_carried_values_of_a_hot_key(spark):
+    rng = random.Random(6)
+    data = [("hot" if i % 2 else rng.choice(["a", "b", None]), rng.randrange(500), i, rng.choice([None, None, None, i])) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, t int, id int, v int")
+    got = {r.id: r.last for r in rows.carried(df, "k", ["t", "id"], F.col("v"), "last", ranges=9).collect()}
+    seen, want = {}, {}
+    for k, _, i, v in sorted(data, key=lambda x: x[1:3]):
+        seen[k] = v if v is not None else seen.get(k)
+        want[i] = seen[k]
+    assert got == want and len(got) == len(data)
+    assert rows.carried(df.limit(0), "k", ["t", "id"], F.col("v"), "last").count() == 0
+
+
+def test_windows_are_halved_at_the_cap(spark):
+    rng = random.Random(2)
+    start = dt.date(2024, 1, 1)
+    data = [(start + dt.timedelta(days=int(rng.betavariate(2, 5) * 60)), rng.choice("xy")) for _ in range(300)] + [(start + dt.timedelta(days=9), "z")] * 30 + [(None, "x")]
+
+    def leaves(a, b):
+        inside = [r for d, r in data if d and a <= d <= b]
+        if len(inside) < 12:
+            return [(a, b, "", len(inside), False)]
+        if a == b:
+            return [(a, b, r, inside.count(r), inside.count(r) >= 12) for r in sorted(set(inside))]
+        middle = a + (b - a) // 2
+        return leaves(a, middle) + leaves(middle + dt.timedelta(days=1), b)
+
+    days = [d for d, _ in data if d]
+    got = windows.bisected(spark.createDataFrame(data, "d date, r string"), "d", "r", 12)
+    assert sorted(map(tuple, got.collect())) == sorted(leaves(min(days), max(days)))
+    assert windows.bisected(spark.createDataFrame(data, "d date, r string").where("d IS NULL"), "d", "r", 12).count() == 0
+
+
+def test_order_of_play(spark):
+    ties = spark.createDataFrame([(1, "A", "B", "Final", 1), (1, "B", "A", "Semi", 2), (1, "A", "", "x", 3), (1, "A", "A", "x", 4), (2, "A", "B", None, 1)], "draw int, a string, b string, round string, seq int")
+    sheets = spark.createDataFrame([(1, "M", " Under  14", None), (2, "", "", "Boys singles")], "draw int, event_code string, age string, event string")
+    data = [(1, "B", "A", "M", "UNDER 14", "Girls", "G", "C"), (2, "A", "B", "M", "Under 16", "", "G", "C"), (3, "A", "B", None, None, "BOYS  Singles", "", "C"), (4, "A", "A", "M", "", "", "", ""), (5, "A", "C", "M", "", "", "", ""), (6, "A", "B", "M", None, None, "G", None)]
+    scheduled = spark.createDataFrame(data, "id int, a string, b string, event_code string, age string, event string, round_group string, classification string")
+    got = sorted(tuple(r) for r in evidence.order_of_play(scheduled, ties, sheets).collect())
+    assert got == [(1, 1, "Semi"), (1, 6, "Semi"), (2, 2, "G"), (2, 3, "C"), (2, 6, "G")]
+
+
+def test_member_ids(spark):
+    data = [(" 007 ", "x"), ("007", ""), ("7", "y"), ("", "z"), (None, "z"), ("a\ufffd", "z"), ("9" * 255, "k"), ("9" * 256, "k")]
+    got = evidence.merged_members(spark.createDataFrame(data, "id string, v string"), "id", ["v"]).collect()
+    assert {r.id: r.v for r in got} == {"007": "x", "7": "y", "9" * 255: "k"}
+
+
+def test_registry_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,Name,id \n1,a,2\n")
+    with pytest.raises(ValueError, match="duplicate columns: id"):
+        files.read_registry(spark, str(tmp_path / "a.csv"), ["name"])
+    (tmp_path / "b.csv").write_text("ID,Name\n1,a\n2\n3,b,c\n004,d\n")
+    with pytest.raises(ValueError, match="missing columns: born, club"):
+        files.read_registry(spark, str(tmp_path / "b.csv"), ["born", "id", "club"])
+    assert sorted(tuple(r) for r in files.read_registry(spark, str(tmp_path / "b.csv"), ["name", "id"]).collect()) == [("a", "1"), ("d", "004")]
+
+
+def paragraphs(page):
+    """Texts of all p elements: a tag that is not closed ends with the one around it. Tags are found by a pattern."""
+    page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b.*?</\1\s*>", "", page or "")
+    open_, out, at = [], [], 0
+    for m in [*re.finditer(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", page), None]:
+        for _, n in open_:
+            if n is not None:
+                out[n] += page[at : m.start() if m else len(page)]
+        if m is None:
+            break
+        at, tag = m.end(), m[2].lower()
+        if m[1]:
+            found = [i for i, (t, _) in enumerate(open_) if t == tag]
+            if found:
+                del open_[found[-1] :]
+        elif tag not in ("br", "img", "hr", "meta", "link", "input"):
+            if tag == "p":
+                out.append("")
+            open_.append((tag, len(out) - 1 if tag == "p" else None))
+    return [" ".join(unescape(t).split()) for t in out]
+
+
+def test_paragraphs_of_all_pages(spark):
+    pages_ = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = sorted(tuple(r) for r in QUERIES["src20_paragraphs"](spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted((i, t) for i, page in pages_.items() for t in paragraphs(page)) and len(got) > 50
