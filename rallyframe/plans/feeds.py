@@ -66,12 +66,24 @@ def date_partitions(spark, sf_dir):
     return spark.read.schema("o_orderkey bigint, day date, month string").parquet(path).where("month = '1996-03'").select("o_orderkey", "day")
 
 
-@query("src16_xml_feed", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+_MATCH = "concat('<Match id=\"', CAST(event_id AS string), '\" name=\"', CASE WHEN event_id % 50 = 0 THEN 'a&b' ELSE event_type END, CASE WHEN event_id % 3 = 0 THEN '\"/>' ELSE concat('\"><Score>', CAST(user_id AS string), '</Score></Match>') END)"
+
+
+@query("src16_xml_feed", "SELECT CAST(event_id AS int) AS id, event_type AS name, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS string) END AS score FROM events WHERE event_id % 50 <> 0")
 def xml_feed(spark, sf_dir):
+    """Elements of a feed by attributes and children; those that are no XML (a bare ampersand) are rejected by themselves."""
+    return _xml_feed(spark, sf_dir)[0].select("id", "name", F.col("Score").alias("score"))
+
+
+@query("src16_xml_rejected", "SELECT CAST(event_id AS int) AS id FROM events WHERE event_id % 50 = 0")
+def xml_rejected(spark, sf_dir):
+    return _xml_feed(spark, sf_dir)[1].select(F.regexp_extract("raw", r'id="(\d+)"', 1).cast("int").alias("id"))
+
+
+def _xml_feed(spark, sf_dir):
     path = staged(spark, "xml")
-    row = F.concat(F.lit('<Match id="'), F.col("n_nationkey").cast("string"), F.lit('" name="'), "n_name", F.lit('"/>'))
-    read(spark, sf_dir, "nation").select(row.alias("value")).write.text(path)
-    return files.read_xml(spark, path, "Match", "id int, name string")
+    read(spark, sf_dir, "events").select(F.expr(_MATCH).alias("value")).write.text(path)
+    return files.read_xml(spark, path, "Match", "id int, name string, Score string")
 
 
 @query("jsn01_event_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS int) AS k FROM events")

@@ -115,12 +115,18 @@ def double_encoded(c: Column, key: str, schema: str) -> Column:
     return F.from_json(F.get_json_object(c, f"$.{key}"), schema)
 
 
-def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
-    """An attribute feed, one row an element; documents that don't parse give no row."""
-    whole = spark.read.text(path, wholetext=True)
-    elements = F.regexp_extract_all("value", F.lit(rf"(?s)<{row}\b(?:[^>]*/>|.*?</{row}>)"), F.lit(0))
-    parsed = whole.select(F.explode(elements).alias("e")).select(F.from_xml("e", schema, {"attributePrefix": "", "rowTag": row}).alias("r"))
-    return parsed.where(F.col("r").isNotNull()).select("r.*")
+def read_xml(spark: SparkSession, path: str, row: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): elements ``row`` of XML files, attributes and children by ``schema``; what does not parse, as ``raw``.
+
+    Files are cut where an element begins, which the line reader does, so a large file is read by several tasks, whether its
+    elements are lines or not. A document whose end is missing still gives its whole elements; its last one is rejected.
+    Elements do not hold others of their name, and their begin tag does not stand in comments or quoted text.
+    """
+    pieces = spark.read.text(path, lineSep=f"<{row}").select(F.concat(F.lit(f"<{row}"), "value").alias("raw")).where(F.col("raw").rlike(rf"^<{row}[\s/>]"))
+    whole = F.regexp_extract("raw", rf"(?s)^<{row}(?:\s[^>]*)?/>|^<{row}\b.*?</{row}\s*>", 0)
+    parsed = pieces.select("raw", F.from_xml(F.nullif(whole, F.lit("")), f"{schema}, _raw string", {"attributePrefix": "", "rowTag": row, "columnNameOfCorruptRecord": "_raw"}).alias("r"))
+    good = F.col("r").isNotNull() & F.col("r._raw").isNull()
+    return parsed.where(good).select("r.*").drop("_raw"), parsed.where(~good).select("raw")
 
 
 def team(c: Column, won: bool) -> Column:

@@ -153,7 +153,20 @@ def test_utf16_is_sniffed(spark, tmp_path):
 def test_xml_feed_and_broken_file(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<F><Match id="1" name="x"/><Match id="2" name="y"></Match></F>')
     (tmp_path / "b.xml").write_text("<F><Mat")
-    assert sorted(r.id for r in files.read_xml(spark, str(tmp_path), "Match", "id int, name string").collect()) == [1, 2]
+    (tmp_path / "c.xml").write_text('<F>\n<Match\n id="3" name="z">\n</Match><Match id="4" name="a&b"/><Other id="5"/><Match id="6"')
+    rows_, bad = files.read_xml(spark, str(tmp_path), "Match", "id int, name string")
+    assert sorted(r.id for r in rows_.collect()) == [1, 2, 3]
+    assert sorted(r.raw[:13] for r in bad.collect()) == ['<Match id="4"', '<Match id="6"']
+
+
+def test_large_xml_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "big.xml").write_text("<F>" + "".join(f'<Match id="{i}" name="{"x" * 90}"/>\n' for i in range(20_000)) + "</F>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        rows_, _ = files.read_xml(spark, str(tmp_path), "Match", "id int, name string")
+        assert rows_.rdd.getNumPartitions() >= 4 and sorted(r.id for r in rows_.collect()) == list(range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_html_tolerates_unclosed_tags(spark):
