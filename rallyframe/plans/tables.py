@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import dates, params
 from rallyframe.functions.text import header_key, http_or_blank, request_fingerprint
-from rallyframe.operators import evidence, pages, rows, windows
+from rallyframe.operators import declared, evidence, pages, rows, windows
 from rallyframe.plans.catalog import facts, fields, query, read
 from rallyframe.sources import files
 from rallyframe.sources.staging import staged
@@ -431,3 +431,36 @@ def bisected(spark, sf_dir):
     """Windows halved until each has fewer rows than a search may return; days that still have more, by region."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("region"))
     return windows.bisected(o, "day", "region", _CAP)
+
+
+#: Three sources of unlike shape as declarations of the same rows.
+FIELDS = ["key", "day", "winner", "loser", "score", "gender", "round"]
+DECLARED = {
+    "orders": declared.Source("orders", (declared.Field("key", "o_orderkey", "number", True), declared.Field("day", "CAST(o_orderdate AS date)", "date", True), declared.Field("winner", "concat(' C ', o_custkey, '  x')", required=True), declared.Field("score", "CASE WHEN o_orderkey % 6 = 0 THEN 'w.o.' ELSE concat('6-', o_orderkey % 5) END", "score")), items="o_orderstatus <> 'P'"),
+    "lineitem": declared.Source("lineitem", (declared.Field("key", "l_orderkey * 8 + l_linenumber", "number", True), declared.Field("day", "CASE WHEN l_partkey % 10 = 0 THEN 'soon' ELSE date_format(l_shipdate, 'M/d/yyyy') END", "date", True), declared.Field("winner", "CASE WHEN l_suppkey % 20 = 0 THEN ' ' ELSE concat('S', l_suppkey) END", required=True), declared.Field("loser", "concat('P', l_partkey)"), declared.Field("round", "l_returnflag")), wants="l_linenumber < 4"),
+    "events": declared.Source("events", (declared.Field("key", "event_id", "number", True), declared.Field("day", "CAST(ts AS date)", "date"), declared.Field("winner", "user_id", required=True), declared.Field("gender", "CASE event_id % 4 WHEN 0 THEN 'Female' WHEN 1 THEN 'm' WHEN 2 THEN '' ELSE '??' END", "gender"))),
+}
+_DECLARED_SQL = """
+  SELECT 'orders' AS source, CAST(o_orderkey AS string) AS key, strftime(o_orderdate, '%Y-%m-%d') AS day, concat('C ', o_custkey, ' x') AS winner, '' AS loser, CASE WHEN o_orderkey % 6 = 0 THEN 'w.o.;' ELSE concat('6-', o_orderkey % 5, ';') END AS score, '' AS gender, '' AS round, [CASE WHEN o_orderkey % 6 = 0 THEN 'score: no score' END] AS p FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT 'lineitem', CAST(l_orderkey * 8 + l_linenumber AS string), CASE WHEN l_partkey % 10 = 0 THEN 'soon' ELSE strftime(l_shipdate, '%Y-%m-%d') END, CASE WHEN l_suppkey % 20 = 0 THEN '' ELSE concat('S', l_suppkey) END, concat('P', l_partkey), '', '', l_returnflag, [CASE WHEN l_partkey % 10 = 0 THEN 'day: no date' END, CASE WHEN l_suppkey % 20 = 0 THEN 'winner: missing' END] FROM lineitem WHERE l_linenumber < 4
+  UNION ALL SELECT 'events', CAST(event_id AS string), strftime(ts, '%Y-%m-%d'), CAST(user_id AS string), '', '', CASE event_id % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END, '', [CASE WHEN event_id % 4 = 3 THEN 'gender: no gender' END] FROM events"""
+
+
+def _declared(spark, sf_dir):
+    return declared.run([(s, read(spark, sf_dir, name)) for name, s in DECLARED.items()], FIELDS)
+
+
+@query("udf02_declared_items", f"SELECT * EXCLUDE (p) FROM ({_DECLARED_SQL}) WHERE len(list_filter(p, lambda x: x IS NOT NULL)) = 0")
+def declared_items(spark, sf_dir):
+    return _declared(spark, sf_dir).items
+
+
+@query("udf02_declared_errors", f"SELECT source, key, problem FROM (SELECT source, key, unnest(p) AS problem FROM ({_DECLARED_SQL})) WHERE problem IS NOT NULL")
+def declared_errors(spark, sf_dir):
+    return _declared(spark, sf_dir).errors.select("source", "key", "problem")
+
+
+@query("udf04_run_counts", f"SELECT source, count(*) FILTER (WHERE n = 0) AS items, count(*) FILTER (WHERE n > 0) AS errors, CASE WHEN count(*) FILTER (WHERE n = 0) > 0 OR count(*) = 0 THEN 'success' ELSE 'failed' END AS status FROM (SELECT source, len(list_filter(p, lambda x: x IS NOT NULL)) AS n FROM ({_DECLARED_SQL})) GROUP BY 1")
+def run_counts(spark, sf_dir):
+    """What a run of all declared sources counts in the pass that writes its rows."""
+    return _declared(spark, sf_dir).counts

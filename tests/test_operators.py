@@ -11,7 +11,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.operators import evidence, identity, pages, rows, store, windows
+from rallyframe.operators import declared, evidence, identity, pages, rows, store, windows
 from rallyframe.plans.catalog import QUERIES
 from rallyframe.sources import files, html
 from rallyframe.streaming import flows
@@ -327,3 +327,19 @@ def test_paragraphs_of_all_pages(spark):
     pages_ = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
     got = sorted(tuple(r) for r in QUERIES["src20_paragraphs"](spark, "/root/testdata/sf0.001").collect())
     assert got == sorted((i, t) for i, page in pages_.items() for t in paragraphs(page)) and len(got) > 50
+
+
+def test_declarations_are_checked(spark):
+    with pytest.raises(ValueError, match="unknown kind"):
+        declared.Field("a", "x", "colour")
+    with pytest.raises(ValueError, match="declared twice: a"):
+        declared.Source("s", (declared.Field("a", "x"), declared.Field("a", "y")))
+    with pytest.raises(ValueError, match="lack: b"):
+        declared.compiled(declared.Source("s", (declared.Field("b", "id"),)), spark.range(1), ["a"])
+
+
+def test_declared_run_without_rows_and_with_errors_only(spark):
+    field = (declared.Field("a", "id", "date", True),)
+    out = declared.run([(declared.Source("none", field), spark.range(0)), (declared.Source("bad", field), spark.range(3)), (declared.Source("left", field, wants="id > 9"), spark.range(3))], ["a", "b"])
+    assert sorted(tuple(r) for r in out.counts.collect()) == [("bad", 0, 3, "failed"), ("left", 0, 0, "success"), ("none", 0, 0, "success")]
+    assert out.items.count() == 0 and {r.problem for r in out.errors.collect()} == {"a: no date"}
