@@ -38,9 +38,9 @@ from rallyframe.llm.divergence import gathered
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 #: Bytes of text and documents of a block, tokens of a bucket, blocks whose documents meet a bucket in one task.
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_TOKENS, CHUNK_BLOCKS = 32 << 20, 1 << 16, 1 << 21, 2048
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_TOKENS, CHUNK_BLOCKS = 32 << 20, 1 << 16, 3 << 19, 2048
 #: Tokens of a block whose pairs are sorted at a time.
-SORTED_TOKENS = 1 << 20
+SORTED_TOKENS = 1 << 19
 #: Words of equal count are numbered in this many parts where the count is at most ``FEW``, and words of a part.
 FEW, NUMBERED = 64, 1 << 18
 END = " "  # no word holds a space
