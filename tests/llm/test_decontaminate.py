@@ -30,6 +30,36 @@ def judge(text, items):
     return len(w), s, len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), s > 0 and 20 * s >= len(w)
 
 
+def judge_by_windows(items):
+    """As ``judge``, for whole tables: all windows of the items in one dictionary."""
+    windows = {}
+    for item, t in items:
+        i = split(t)
+        n = min(13, len(i))
+        for k in range(len(i) - n + 1 if n else 0):
+            windows.setdefault(tuple(i[k : k + n]), set()).add(item)
+    sizes = sorted({len(w) for w in windows})
+
+    def judged(text):
+        w = split(text)
+        hit, ids = [False] * len(w), set()
+        for n in sizes:
+            for j in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[j : j + n])):
+                    ids |= found
+                    hit[j : j + n] = [True] * n
+        s = sum(hit)
+        return len(w), s, len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), s > 0 and 20 * s >= len(w)
+
+    return judged
+
+
+def test_the_two_judges_agree(spark):
+    _, rows, items, _ = setup(spark)
+    judged = judge_by_windows(items)
+    assert [judged(r[1]) for r in rows] == [judge(r[1], items) for r in rows]
+
+
 def setup(spark):
     rng = random.Random(4)
     items = [(i, words(rng, n)) for i, n in enumerate([40, 13, 14, 12, 3, 1, 30])] + [(90, ""), (91, None), (92, "Same Words, same words. SAME words"), (93, words(rng, 20, 2))]

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from fixtures import SCHEMA, documents, empty
 from pyspark.sql import functions as F
-from test_decontaminate import judge
+from test_decontaminate import judge_by_windows
 from test_near_copies import expected
 from test_secret_scan import EXTRA, base
 
@@ -55,9 +55,8 @@ def test_one_of_each_group_stays(spark, folder):
 def test_contaminated_documents_go(spark, folder):
     at, rows = folder
     items = [tuple(r) for r in queries.table(spark, at, "benchmark").select("item_id", "text").collect()]
-    rows = [r for r in rows if len(r[1] or "") < 5000][:130]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    want = [r for r in rows if not judge(r[1], items)[4]]
+    docs, judged = spark.createDataFrame(rows, SCHEMA), judge_by_windows(items)
+    want = [r for r in rows if not judged(r[1])[4]]
     assert plain(corpus_pipeline.drop_contaminated(spark, docs, at)) == sorted(want, key=str) and len(want) < len(rows)
 
 

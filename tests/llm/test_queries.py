@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import SCHEMA
-from test_decontaminate import judge
+from test_decontaminate import judge_by_windows
 from test_secret_scan import base
 from test_spotsigs import expected
 
@@ -94,10 +94,10 @@ def test_op6_to_op8_against_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in secret_scan.KINDS)
         assert set(want) <= set(r.spans.split(",")) | {""}
     items = [tuple(r) for r in queries.table(spark, SMALL, "benchmark").select("item_id", "text").collect()]
-    small = {i for i, t in docs.items() if len(t or "") < 1500}
-    for r in queries.op7_decontaminate(spark, SMALL).collect():
-        if r.doc_id in small:
-            assert tuple(r)[1:6] == judge(docs[r.doc_id], items)
+    judged, found = judge_by_windows(items), queries.op7_decontaminate(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    for r in found:
+        assert tuple(r)[1:6] == judged(docs[r.doc_id])
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
