@@ -10,7 +10,8 @@ The loss mask is kept turn by turn: how many code points of the turn's stretch t
 Defined cases: null text, role or parts read as empty; turns with equal numbers go by role and then text; null turn numbers
 come first; a null conversation id is a conversation of its own; unknown part kinds read as text; an empty table gives an
 empty result. A conversation is one result row by contract, so its text must fit one row; its turns are formatted where
-they lie and are gathered with partial aggregation.
+they lie and are gathered with partial aggregation. Texts are formatted whole; columns other than those named are not read, so
+their names don't matter; repeated rows are turns of their own.
 """
 
 from __future__ import annotations

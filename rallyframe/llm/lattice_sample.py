@@ -16,7 +16,9 @@ is lost in double precision), so none are kept there.
 
 Defined cases: null and empty texts have one empty segmentation (inclusion 1); a text with fewer than k segmentations gives
 all of them; equal keys and texts give equal samples; characters without
-a piece are spelt in byte pieces; U+2581 reads as a space, as in the library; other columns are not read.
+a piece are spelt in byte pieces; U+2581 reads as a space, as in the library; other columns are not read, so their
+names don't matter; null keys share one seed, so equal texts under them give equal samples; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

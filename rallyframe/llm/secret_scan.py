@@ -11,7 +11,7 @@ are summed in blocks of BLOCK matches, so that a text of very many matches costs
 
 Defined cases: null and empty texts have no spans; a text is read whole; equal rows are judged each on its own; null ids
 are kept; columns other than id, text and ``keep`` are not read, so their names don't matter; a name in ``keep`` that is
-also an output is refused.
+also an output is refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations

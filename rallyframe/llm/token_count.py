@@ -6,7 +6,8 @@ similar bytes; counts of short pieces are kept in a bounded table, so a piece th
 Texts with unusual white space are only split between a letter or digit, one space, and another letter or digit.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; strings of special tokens inside texts are handled as the
-library does by default; a long run without a place to split is encoded whole; other columns are not read.
+library does by default; a long run without a place to split is encoded whole; null ids keep their row;
+repeated rows are counted each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

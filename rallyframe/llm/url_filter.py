@@ -9,7 +9,9 @@ own, and the urls look each of them up within the same pass.
 
 Defined cases: a null url and one without ``://`` have empty host and path; a rule fits its host and all subdomains where
 the url's path starts with the rule's path; the longest host + path wins, then block over allow; urls without a rule get
-the default verdict; repeated rows are judged each on its own; an empty rule list fits nothing; ids are kept as they are.
+the default verdict; repeated rows are judged each on its own; an empty rule list fits nothing; ids are kept as they are, null
+ones too; an empty page table gives an empty result; a url is read whole, however long; columns of the pages other than id
+and url are not read, so their names don't matter.
 """
 
 from __future__ import annotations
