@@ -115,3 +115,23 @@ def test_url_filter_twice_in_one_session(spark):
     rules = spark.createDataFrame([("example.com", "/de/", "block")], "host string, path string, action string")
     for _ in range(2):
         assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
+def test_urls_of_any_length_beside_clashing_names(spark):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    long = "https://a.example.net/en/" + "x/" * 200_000 + "?q"
+    pages = spark.createDataFrame([(1, long), (None, "http://EXAMPLE.com/de/1"), (None, None), (1, long)], "page_id bigint, url string").withColumns({"host": F.lit("h"), "path": F.lit(1), "rule": F.lit(2.0), "verdict": F.lit("v")})
+    got = sorted((tuple(r) for r in url_filter.filter_urls(pages, rules).collect()), key=str)
+    path = "/en/" + "x/" * 200_000
+    assert got == sorted([(1, "a.example.net", path, "example.net/en/", "allow")] * 2 + [(None, "example.com", "/de/1", "example.com/de/", "block"), (None, "", "", None, "allow")], key=str)
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_long_turns_beside_clashing_names(spark):
+    said = "</s> word " * 100_000
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", said), (None, 0, "assistant", None), (1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = turns.withColumn("parts", chat_format.text_part(F.col("text"))).withColumns({"formatted": F.lit(1), "loss_mask": F.lit(2), "attachments": F.lit(3), "_body": F.lit("x")})
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
+    assert [t["text"] for t in got[1].turns] == ["hi", said, said] and got[1].loss_text == said * 2
+    assert got[None].loss_text == "" and len(got[None].turns) == 1
+    assert chat_format.format_turns(turns.limit(0)).count() == 0
