@@ -158,7 +158,7 @@ def snk06_batches(spark, sf_dir):
     """Three batches into a stored index of hashes: what each adds and how many of its rows were known or repeats."""
     c, kept, outcome = compact(spark, sf_dir), store.HashStore(spark), []
     for n in range(3):
-        batch = store.stored_row(identity.widened(c.where((F.col("batch") == n) | F.col("again")), "seq"), "scrape", f"run-{n}", "seq")
+        batch = store.stored_row(identity.widened(c.where((F.col("batch") == n) | F.col("again")), "seq"), "scrape", f"run-{n}", "seq").drop("data")
         _, new, skipped = kept.insert(batch, ["seq"])
         outcome.append((n, new, skipped))
     kept.drop()
