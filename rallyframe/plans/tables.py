@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from rallyframe.functions import dates, params
+from rallyframe.functions import addresses, dates, params
+from rallyframe.functions.addresses import edges
 from rallyframe.functions.text import header_key, http_or_blank, request_fingerprint
-from rallyframe.operators import declared, evidence, pages, rows, windows
+from rallyframe.operators import declared, evidence, guards, pages, rows, windows
 from rallyframe.plans.catalog import facts, fields, query, read
 from rallyframe.sources import files
 from rallyframe.sources.staging import staged
@@ -409,6 +410,65 @@ def host_allowed(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", pages.host_allowed(F.col("url"), ("example.org", "example.net")).alias("allowed"))
 
 
+# page_id, url: hosts of the pages' urls replaced by addresses in seven forms or by local names, three of twelve left as they are
+_ANY_FORM = """
+  SELECT page_id, CASE WHEN form < 9 THEN concat('http://u:p@', CASE form
+      WHEN 0 THEN concat(p, '.', q, '.', r, '.', s) WHEN 1 THEN concat(a, '') WHEN 2 THEN concat('0x', lower(hex(a))) WHEN 3 THEN concat('0', p >> 6, (p >> 3) % 8, p % 8, '.0x', lower(hex(q)), '.', r * 256 + s)
+      WHEN 4 THEN concat('[::FFFF:', p, '.', q, '.', r, '.', s, ']') WHEN 5 THEN concat('[::ffff:', lower(hex(p * 256 + q)), ':', lower(hex(r * 256 + s)), ']')
+      WHEN 6 THEN concat(CASE WHEN n % 2 = 0 THEN '[fe80::' ELSE '[2606:2800::' END, lower(hex(a >> 16)), ':', lower(hex(r * 256 + s)), ']') WHEN 7 THEN 'LocalHost' ELSE 'db.internal' END, ':8080/x?y@z') ELSE url END AS url
+  FROM (SELECT *, a >> 24 AS p, (a >> 16) % 256 AS q, (a >> 8) % 256 AS r, a % 256 AS s FROM (SELECT page_id, url, n, (n >> 4) % 12 AS form,
+    CASE n % 9 WHEN 0 THEN 167772160 + (n >> 12) WHEN 1 THEN 2130706432 + (n >> 12) WHEN 2 THEN 2886729728 + (n >> 12) WHEN 3 THEN 3232235520 + (n >> 16) WHEN 4 THEN 2851995648 + (n >> 16) WHEN 5 THEN 3758096384 + (n >> 12) ELSE n END AS a
+    FROM (SELECT page_id, url, (CAST(page_id AS BIGINT) * 2654435761) % 4294967296 AS n FROM pages) x) y) z
+"""
+# SQL: addresses are built from the text of each form, and looked up among the ranges' bounds
+_PUBLIC_URLS = r"""
+WITH hosts AS (
+  SELECT page_id, regexp_extract(lower(regexp_extract(url, '^(?i:https?)://([^/?#]*)', 1)), '([^@]*)$', 1) AS rest FROM (ANY_FORM)
+), cut AS (
+  SELECT page_id, CASE WHEN starts_with(rest, '[') THEN split_part(rest[2:], ']', 1) ELSE split_part(rest, ':', 1) END AS host, starts_with(rest, '[') AS six FROM hosts
+), quads AS (
+  SELECT *, list_transform(split(regexp_extract(host, '[0-9.]*$'), '.'), lambda x: TRY_CAST(x AS INTEGER)) AS d FROM cut
+), wide AS (
+  SELECT page_id, CASE WHEN contains(host, '.') THEN regexp_extract(host, '^(.*:)', 1) || printf('%x:%x', d[1] * 256 + d[2], d[3] * 256 + d[4]) ELSE host END AS h FROM quads WHERE six
+), sides AS (
+  SELECT page_id, list_transform(split(split_part(h, '::', 1), ':'), lambda g: CASE WHEN g = '' THEN '' ELSE lpad(g, 4, '0') END) AS l, list_transform(split(split_part(h, '::', 2), ':'), lambda g: lpad(g, 4, '0')) AS r FROM wide
+), parts AS (
+  SELECT page_id, list_transform(split(host, '.'), lambda x: CASE
+    WHEN starts_with(x, '0x') THEN list_reduce(list_transform(split(x[3:], ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda m, y: m * 16 + y)
+    WHEN starts_with(x, '0') THEN list_reduce(list_transform(split(x, ''), lambda c: CAST(c AS BIGINT)), lambda m, y: m * 8 + y) ELSE CAST(x AS BIGINT) END) AS n
+  FROM cut WHERE regexp_full_match(host, '[0-9][0-9a-fx.]*')
+), numbers AS (
+  SELECT page_id, array_to_string(l, '') || repeat('0', 32 - length(array_to_string(l, '')) - length(array_to_string(r, ''))) || array_to_string(r, '') AS address FROM sides
+  UNION ALL SELECT page_id, printf('00000000000000000000ffff%08x', n[-1] + coalesce(n[1] * CASE WHEN len(n) > 1 THEN 16777216 ELSE 0 END, 0) + coalesce(n[2] * CASE WHEN len(n) > 2 THEN 65536 ELSE 0 END, 0) + coalesce(n[3] * CASE WHEN len(n) > 3 THEN 256 ELSE 0 END, 0)) FROM parts
+), ranges(low, high) AS (VALUES RANGES)
+SELECT page_id, address, CASE WHEN coalesce(host, '') = '' THEN 'host' WHEN host = 'localhost' OR ends_with(host, '.local') OR ends_with(host, '.internal') THEN 'name' WHEN within THEN 'address' END AS refused
+FROM cut LEFT JOIN (SELECT page_id, address, bool_or(low IS NOT NULL) AS within FROM numbers LEFT JOIN ranges ON address >= low AND address < high GROUP BY ALL) USING (page_id)
+"""
+_RANGES = ", ".join(f"('{a}', '{b}')" for a, b in zip(edges()[::2], [*edges()[1::2], "g"], strict=False))
+
+
+@query("flt19_public_urls", _PUBLIC_URLS.replace("ANY_FORM", _ANY_FORM).replace("RANGES", _RANGES))
+def public_urls(spark, sf_dir):
+    """Urls with addresses in every form: which may be fetched."""
+    urls = spark.sql(_ANY_FORM.replace("FROM pages", "FROM {pages}"), pages=read(spark, sf_dir, "pages"))
+    return guards.guarded(urls).select("page_id", "address", "refused")
+
+
+@query(
+    "flt19_resolved_names",
+    r"""
+WITH hosts AS (SELECT page_id, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN host IS NULL OR host = '' THEN 'host' WHEN length(host) % 4 = 1 THEN 'unresolved' WHEN length(host) % 4 = 2 THEN 'address' END AS refused FROM hosts
+""",
+)
+def resolved_names(spark, sf_dir):
+    """Names by the addresses that were collected for them: none, a public one, or one of two that is not."""
+    urls = read(spark, sf_dir, "pages").select("page_id", "url")
+    names = urls.select(addresses.host(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    found = F.when(F.length("host") % 4 == 2, F.array(F.lit("93.184.216.34"), F.lit("10.0.0.8"))).when(F.length("host") % 4 != 1, F.array(F.lit("2606:2800::1"))).otherwise(F.array().cast("array<string>"))
+    return guards.guarded(urls, resolved=names.select("host", F.explode(found).alias("address"))).select("page_id", "refused")
+
+
 @query("udf03_source_settings", "SELECT c_custkey, coalesce(label, 'other') AS label, CASE WHEN coalesce(upper, false) THEN upper(c_name) ELSE c_name END AS name FROM customer LEFT JOIN (VALUES ('BUILDING', 'b', true, 100.0), ('MACHINERY', 'm', false, NULL)) AS s(c_mktsegment, label, upper, least) USING (c_mktsegment) WHERE c_acctbal >= coalesce(least, -500)")
 def source_settings(spark, sf_dir):
     """One flow for all sources, told by a table what holds for each."""
