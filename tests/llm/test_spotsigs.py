@@ -84,3 +84,16 @@ def test_join_against_brute_force(spark):
     want = {tuple(sorted((own[a], own[b]))) for a, b in itertools.combinations(own, 2) if a and b and likeness(a, b) >= 0.8}
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
     assert members.count() == sum(r[0] is not None for r in rows)
+
+
+def test_join_of_a_whole_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    members, pairs = spotsigs.near_pairs(docs)
+    own = {}
+    texts = docs.select("doc_id", "text").collect()
+    found = sets([r.text or "" for r in texts])
+    for r, s in zip(texts, found, strict=True):
+        own[frozenset(s)] = min(own.get(frozenset(s), r.doc_id), r.doc_id)
+    want = {tuple(sorted((own[a], own[b]))) for a, b in itertools.combinations(own, 2) if a and b and 5 * len(a & b) >= 4 * len(a | b)}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and want
+    assert {r.doc_id: r.class_id for r in members.collect()} == {r.doc_id: own[frozenset(s)] for r, s in zip(texts, found, strict=True)}
