@@ -75,9 +75,12 @@ def csv_folder(spark, sf_dir):
 
 @query("src07_utf16_csv", "SELECT CAST(s_suppkey AS string) AS id, concat('é ', s_name) AS name FROM supplier")
 def utf16_csv(spark, sf_dir):
-    path = staged(spark, "utf16")
-    read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ID"), F.concat(F.lit("é "), F.col("s_name")).alias("Name")).write.csv(path, header=True, encoding="UTF-16")
-    return files.read_csv(spark, path, ["id", "name"], encoding=files.sniff_encoding(spark, path))
+    """Files of two encodings and two headers in one folder; each is read as its byte order mark says."""
+    path = staged(spark, "encodings")
+    s, name = read(spark, sf_dir, "supplier"), F.concat(F.lit("é "), F.col("s_name"))
+    s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ID"), name.alias("Name")).write.csv(path, header=True, encoding="UTF-16")
+    s.where("s_suppkey % 3 = 0").select(name.alias("NAME"), F.col("s_suppkey").alias("id")).write.mode("append").csv(path, header=True)
+    return files.read_csv(spark, path, ["id", "name"], encoding=None)
 
 
 @query("src09_sheet_links", "SELECT n_name AS team, concat('/schedule/', n_nationkey) AS link FROM nation WHERE n_nationkey % 3 <> 0")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +13,58 @@ from pyspark.sql import functions as F
 from rallyframe.functions.text import guarded_cell, header_key, header_label, strip
 
 
-def headers(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", multi_line: bool = True) -> dict[str, list[str]]:
-    """Header lines and the files that begin with each; a pass over the lines, of which one a file reaches the driver."""
-    lines = spark.read.schema("line string").csv(paths, sep="\x01", quote="\x00", encoding=encoding, multiLine=multi_line)
-    first = lines.where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("line").alias("line"))
-    found: dict[str, list[str]] = {}
-    for r in sorted(first.collect()):
-        found.setdefault(r.line or "", []).append(r.file)
+HEAD_BYTES, OPENERS = 1 << 14, 16
+# Byte order marks and the encodings they stand for.
+MARKS = {b"\xff\xfe": "UTF-16", b"\xfe\xff": "UTF-16", b"\xef\xbb\xbf": "UTF-8"}
+
+
+def _head(spark: SparkSession, file: str, encoding: str | None) -> tuple[str, str] | None:
+    """Encoding and first line that is not blank of one file, of which no more is read; None where there is none."""
+    conf = spark._jsc.hadoopConfiguration()
+    place = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        if codec := spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place):
+            stream = codec.createInputStream(stream)
+        data, more = b"", True
+        while more:
+            more = bytes(stream.readNBytes(HEAD_BYTES))
+            data += more
+            found = encoding or next((e for mark, e in MARKS.items() if data.startswith(mark)), "UTF-8")
+            lines = re.split(r"\r\n|\r|\n", codecs.getincrementaldecoder(found)("replace").decode(data, not more).removeprefix("\ufeff"))
+            if line := next((x for x in (lines[:-1] if more else lines) if x.strip()), None):
+                return found, line
+        return None
+    finally:
+        stream.close()
+
+
+def headers(spark: SparkSession, paths: str | list[str], encoding: str | None = "UTF-8") -> dict[tuple[str, str], list[str]]:
+    """(encoding, header line) and the files that begin so; of each file only its beginning is read, several files at once.
+
+    ``encoding`` None: that of each file's byte order mark, else UTF-8. Files without a line are left out.
+    """
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    names = sorted(to_path(spark._jvm.java.net.URI(f)).toString() for f in spark.read.text(paths).inputFiles())
+    with ThreadPoolExecutor(OPENERS) as pool:
+        heads = list(pool.map(lambda f: _head(spark, f, encoding), names))
+    found: dict[tuple[str, str], list[str]] = {}
+    for name, head in zip(names, heads, strict=True):
+        if head:
+            found.setdefault(head, []).append(name)
     return found
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str], aliases: dict[str, str] | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str], aliases: dict[str, str] | None = None, encoding: str | None = "UTF-8", multi_line: bool = True) -> DataFrame:
     """CSV files as ``columns`` of text: headers in any spelling, unknown columns dropped, missing ones and nulls blank.
 
-    Files are read by groups of one header, so files of different shapes may lie in one folder. ``multi_line``: cells may hold
-    line breaks, and each file is one task; without it large files are split. Files without a line give no rows.
+    Files are read by groups of one encoding and header, so files of different shapes may lie in one folder. ``encoding`` None: as each
+    file's byte order mark says, else UTF-8. ``multi_line``: cells may hold line breaks, and each file is one task; without it large files
+    in UTF-8 are split. Files without a line give no rows.
     """
     parts = []
-    for files_of in headers(spark, paths, encoding, multi_line).values():
-        raw = spark.read.csv(files_of, header=True, encoding=encoding, multiLine=multi_line, escape='"')
+    for (found_in, _), files_of in headers(spark, paths, encoding).items():
+        raw = spark.read.csv(files_of, header=True, encoding=found_in, multiLine=multi_line or found_in != "UTF-8", escape='"')
         found: dict[str, str] = {}
         for c in raw.columns:
             key = (aliases or {}).get(header_key(c), header_key(c))
@@ -42,20 +78,6 @@ def read_csv(spark: SparkSession, paths: str | list[str], columns: list[str], al
     return whole
 
 
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-16 where a file begins with its byte order mark, else UTF-8; of a folder the first file is asked. Two bytes are read."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in store.listStatus(place) if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 1]
-    if not found:
-        return "UTF-8"
-    stream = store.open(min(found, key=lambda f: f.getName()))
-    try:
-        return "UTF-16" if (stream.read(), stream.read()) in ((0xFF, 0xFE), (0xFE, 0xFF)) else "UTF-8"
-    finally:
-        stream.close()
-
-
 def read_registry(spark: SparkSession, paths: str | list[str], required: list[str], encoding: str = "UTF-8", header: str | None = None) -> DataFrame:
     """A CSV registry whose header must have ``required``; rows of another width than the header are left out.
 
@@ -64,8 +86,8 @@ def read_registry(spark: SparkSession, paths: str | list[str], required: list[st
     """
     names = next(csv.reader([header])) if header is not None else None
     if names is None:
-        lines = list(headers(spark, paths, encoding, multi_line=False))
-        names = next(csv.reader([lines[0]]), []) if lines else []
+        lines = list(headers(spark, paths, encoding))
+        names = next(csv.reader([lines[0][1]]), []) if lines else []
     keys = [header_key(n) for n in names]
     if twice := sorted({k for k in keys if k and keys.count(k) > 1}):
         raise ValueError(f"duplicate columns: {', '.join(twice)}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import hashlib
 import random
 import re
@@ -146,10 +147,30 @@ def test_registry_checks(spark, tmp_path):
 def test_utf16_is_sniffed(spark, tmp_path):
     (tmp_path / "u.csv").write_bytes("id,name\n1,é\n".encode("utf-16"))
     path = str(tmp_path / "u.csv")
-    assert files.sniff_encoding(spark, path) == "UTF-16"
+    assert files.headers(spark, path, None) == {("UTF-16", "id,name"): [f"file:{path}"]}
     assert files.read_csv(spark, path, ["id", "name"], encoding="UTF-16").first().name == "é"
 
 
+def test_files_of_several_encodings(spark, tmp_path):
+    for name, text, encoding in (("a", "id,name\n1,é\n", "utf-16-le"), ("b", "name,ID\né,2\n", "utf-16-be"), ("c", "id,name\n3,é\n", "utf-8-sig"), ("d e%20", "id,name\n4,é\n", "utf-8"), ("f", "\r\n\r\nid,name\r\n5,é\r\n", "utf-8"), ("g", "", "utf-8"), ("h", "\n\n", "utf-8")):
+        mark = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}.get(encoding, b"")
+        (tmp_path / f"{name}.csv").write_bytes(mark + text.encode(encoding))
+    with gzip.open(tmp_path / "z.csv.gz", "wb") as f:
+        f.write("id,name\n6,é\n".encode())
+    (tmp_path / "w.csv").write_text("id," + ",".join(f"column {i}" for i in range(5000)) + ",name\n7," + "," * 5000 + "é\n")
+    for lines in (True, False):
+        got = sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path), ["id", "name"], encoding=None, multi_line=lines).collect())
+        assert got == [(str(i), "é") for i in range(1, 8)]
+
+
+def test_only_the_beginning_of_a_file_is_read_for_its_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n" + "1,x\n" * 400_000)
+    jobs = spark.sparkContext.statusTracker()
+    before = set(jobs.getJobIdsForGroup(None))
+    assert list(files.headers(spark, str(tmp_path), None)) == [("UTF-8", "id,name")]
+    assert set(jobs.getJobIdsForGroup(None)) == before
+
+
 def test_xml_feed_and_broken_file(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<F><Match id="1" name="x"/><Match id="2" name="y"></Match></F>')
     (tmp_path / "b.xml").write_text("<F><Mat")
