@@ -92,35 +92,56 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((k - 1) * size).limit(size)
 
 
+def _quantiles(df: DataFrame, lead: Column, most: int) -> list:
+    return df.agg(F.percentile_approx(lead, [(i + 1) / most for i in range(most - 1)], 10_000).alias("c")).first().c or []
+
+
 def _cuts(df: DataFrame, lead: Column, most: int) -> list:
-    found = df.agg(F.percentile_approx(lead, [(i + 1) / most for i in range(most - 1)], 10_000).alias("c")).first().c
-    return sorted(set(found or []))
+    return sorted(set(_quantiles(df, lead, most)))
+
+
+def _below(cuts: list, value: Column) -> Column:
+    return F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < value)) if cuts else F.lit(0)
 
 
-def numbered(df: DataFrame, lead: str, order: list[Column], rank: str = "place", total_of: str | None = None, total: str = "total", ranges: int = 64) -> DataFrame:
+def range_of(df: DataFrame, lead: str, then: str | None = None, ranges: int = 64) -> Column:
+    """A number that rises with ``lead``, of ranges of similar size; a value that fills several is cut into as many by ``then``."""
+    moment = dict(df.dtypes)[lead].startswith("timestamp")
+    value = (F.unix_micros(F.col(lead).cast("timestamp")) if moment else F.col(lead)).cast("double")
+    found = _quantiles(df, value, ranges)
+    hot = {v: found.count(v) for v in found if found.count(v) > 1}
+    if not then or not hot:
+        return _below(sorted(set(found)), value)
+    after, inside = F.col(then).cast("double"), F.lit(0)
+    shares = [(i + 1) / ranges for i in range(ranges - 1)]
+    for r in df.select(value.alias("v"), after.alias("t")).where(F.col("v").isin([*hot])).groupBy("v").agg(F.percentile_approx("t", shares, 10_000).alias("c")).collect():
+        cuts = sorted({r.c[k * ranges // hot[r.v] - 1] for k in range(1, hot[r.v])})
+        inside = F.when(value == r.v, 1 + _below(cuts, after)).otherwise(inside)
+    return _below(sorted(set(found)), value) * (ranges + 1) + inside
+
+
+def numbered(df: DataFrame, lead: str, order: list[Column], rank: str = "place", total_of: str | None = None, total: str = "total", ranges: int = 64, then: str | None = None) -> DataFrame:
     """``df`` with each row's place in a total order, and the running total of ``total_of``.
 
     ``lead`` is the first column of ``order``, ascending and not null, of a numeric or time type. Its values are cut into
     ranges of similar size; each is numbered by itself and shifted by the counts before it, so no task sorts the whole
-    table. Only one count and one sum a range reach the driver.
+    table. Only one count and one sum a range reach the driver. ``then`` is the numeric column that comes next in ``order``,
+    ascending and not null: by it a value of ``lead`` that many rows share is cut too.
     """
-    moment = dict(df.dtypes)[lead].startswith("timestamp")
-    value = (F.unix_micros(F.col(lead).cast("timestamp")) if moment else F.col(lead)).cast("double")
-    cuts = _cuts(df, value, ranges)
-    bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < value)) if cuts else F.lit(0)
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", range_of(df, lead, then, ranges))
     amount = F.col(total_of).cast("double") if total_of else F.lit(0.0)
     each = sorted(rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(amount).alias("s")).collect())
-    before, n, s = [], 0, 0.0
+    counts, sums, n, s = [], [], 0, 0.0
     for b in each:
-        before.append((b["_bucket"], n, s))
+        counts += [F.lit(b["_bucket"]), F.lit(n).cast("long")]
+        sums += [F.lit(b["_bucket"]), F.lit(s)]
         n, s = n + b["n"], s + (b["s"] or 0.0)
-    shifts = df.sparkSession.createDataFrame(before, "_bucket int, _n bigint, _s double")
     w = Window.partitionBy("_bucket").orderBy(*order)
-    out = rows.join(F.broadcast(shifts), "_bucket").withColumn(rank, F.row_number().over(w) + F.col("_n"))
+    shift = [F.try_element_at(F.create_map(*x), F.col("_bucket")) if each else F.lit(0) for x in (counts, sums)]
+    out = rows.withColumn(rank, F.row_number().over(w) + shift[0].cast("long"))
     if total_of:
-        out = out.withColumn(total, F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_s"))
-    return out.drop("_bucket", "_n", "_s")
+        out = out.withColumn(total, F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + shift[1])
+    return out.drop("_bucket")
 
 
 def carried(df: DataFrame, key: str, order: list[str], value: Column, name: str, ranges: int = 64) -> DataFrame:

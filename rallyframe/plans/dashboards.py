@@ -472,7 +472,7 @@ _QUEUE = "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place, C
 
 def _queue(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_id") % 16).alias("t"))
-    return rows.numbered(e, "ts", [F.col("ts"), F.col("event_id")], total_of="t", total="threads")
+    return rows.numbered(e, "ts", [F.col("ts"), F.col("event_id")], total_of="t", total="threads", then="event_id")
 
 
 @query("win03_queue_place", f"SELECT event_id, place FROM ({_QUEUE})")
@@ -517,7 +517,7 @@ def bucketed_order(spark, sf_dir):
     signed = F.when(s == "P", day).otherwise(-day)
     placed = read(spark, sf_dir, "orders").withColumns({"b": b, "signed": signed, "lead": b.cast("double") * 1e17 + signed})
     # the lead only cuts ranges; within one the exact columns order
-    return rows.numbered(placed, "lead", [F.col("b"), F.col("signed"), F.col("o_orderkey")]).select("o_orderkey", "place")
+    return rows.numbered(placed, "lead", [F.col("b"), F.col("signed"), F.col("o_orderkey")], then="o_orderkey").select("o_orderkey", "place")
 
 
 @query("top01_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 25")

@@ -103,6 +103,16 @@ def test_pages_clamp(spark):
     assert rows.page(df.limit(0), [F.col("id")], 3, 10).count() == 0
 
 
+def test_a_value_that_most_rows_share_is_cut_by_the_next_column(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 100).otherwise(50).alias("a"), F.lit(2).alias("t"))
+    sizes = {r["b"]: r["count"] for r in df.groupBy(rows.range_of(df, "a", "id", 16).alias("b")).count().collect()}
+    assert max(sizes.values()) < 700 and max(r["count"] for r in df.groupBy(rows.range_of(df, "a", None, 16).alias("b")).count().collect()) >= 3000
+    got = rows.numbered(df, "a", [F.col("a"), F.col("id")], total_of="t", ranges=16, then="id").collect()
+    assert [(r.a, r.id) for r in sorted(got, key=lambda r: r.place)] == sorted((r.a, r.id) for r in got)
+    assert sorted(r.place for r in got) == list(range(1, 4001)) and all(r.total == 2 * r.place for r in got)
+    assert rows.numbered(df.limit(0), "a", [F.col("a"), F.col("id")], then="id").count() == 0
+
+
 def test_numbered_is_a_total_order(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("a"), "id")
     got = sorted((r.place, r.a, r.id) for r in rows.numbered(df, "a", [F.col("a"), F.col("id")], ranges=5).collect())
