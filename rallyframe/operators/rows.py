@@ -80,6 +80,21 @@ def replace_all(existing: DataFrame, new: DataFrame, allow_shrink: bool = False)
     return existing if sizes.new * 10 < sizes.old * 9 and not allow_shrink else new
 
 
+def fan_out(events: DataFrame, users: DataFrame, on: str, pieces: int = 64) -> DataFrame:
+    """Each event with each user of its ``on``; every pair is a row of the result.
+
+    Keys with over a ``pieces``-th of the events, of which there are fewer than that, are split: their events are dealt over ``pieces``
+    parts by a hash and their users repeated in each, so one key's pairs are made by many tasks. Null keys have no users.
+    """
+    sizes = events.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[on] for r in sizes.where(F.col("_n") * pieces > total).collect()]
+    split = F.col(on).isin(hot) if hot else F.lit(False)
+    dealt = events.withColumn("_piece", F.when(split, F.pmod(F.xxhash64(*events.columns), F.lit(pieces))).otherwise(0).cast("int"))
+    repeated = users.withColumn("_piece", F.explode(F.when(split, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated, [on, "_piece"]).drop("_piece")
+
+
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows that name a parent which is gone, for a cascade or a reset."""
     return child.where(F.col(foreign).isNotNull()).join(parent.select(F.col(key).alias(foreign)), foreign, "left_anti").select(*child.columns)

@@ -263,9 +263,9 @@ def mentioned(spark, sf_dir):
 
 @query("jon20_fan_out", "SELECT o_orderkey, n_nationkey FROM orders, nation WHERE n_regionkey = 1 AND n_nationkey <> o_custkey % 25")
 def fan_out(spark, sf_dir):
-    """An event to every user of its team but the actor: a join on the team, which Catalyst broadcasts where it is small."""
+    """An event to every user of its team but the actor: a join on the team, split where one team has most events."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("actor"), F.lit(1).alias("n_regionkey"))
-    return o.join(read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), "n_regionkey").where("n_nationkey <> actor").select("o_orderkey", "n_nationkey")
+    return rows.fan_out(o, read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), "n_regionkey").where("n_nationkey <> actor").select("o_orderkey", "n_nationkey")
 
 
 @query("jon21_other_running", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) > 1 AS blocked FROM orders WHERE o_orderstatus = 'F'")

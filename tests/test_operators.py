@@ -103,6 +103,19 @@ def test_pages_clamp(spark):
     assert rows.page(df.limit(0), [F.col("id")], 3, 10).count() == 0
 
 
+def test_fan_out_splits_a_team_with_most_events(spark):
+    e = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 40).when(F.col("id") % 3 == 1, 7).alias("team"))
+    u = spark.createDataFrame([(n, n % 50) for n in range(200)] + [(999, None)], "user int, team bigint")
+    got = rows.fan_out(e, u, "team", pieces=8)
+    teams = {r.id: r.team for r in e.collect()}
+    members = {}
+    for r in u.collect():
+        members.setdefault(r.team, []).append(r.user)
+    assert sorted((r.id, r.user, r.team) for r in got.collect()) == sorted((i, n, t) for i, t in teams.items() if t is not None for n in members[t])
+    assert sorted(got.columns) == ["id", "team", "user"]
+    assert rows.fan_out(e.limit(0), u, "team").count() == 0
+
+
 def test_a_value_that_most_rows_share_is_cut_by_the_next_column(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 100).otherwise(50).alias("a"), F.lit(2).alias("t"))
     sizes = {r["b"]: r["count"] for r in df.groupBy(rows.range_of(df, "a", "id", 16).alias("b")).count().collect()}
