@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Pages that a task's Python holds at once, and their bytes.
+BATCH_PAGES, BATCH_BYTES = 500, 8 << 20
+
+
+def bounded_pages(spark: SparkSession) -> None:
+    """Batches of pages for Python stay small, whatever a task reads."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def anchors(html: Column) -> Column:
     """Targets of links, in order."""
@@ -72,8 +83,19 @@ class _Texts(HTMLParser):
                     self.texts[at].append(data)
 
 
-def element_texts(tag: str, mark: str = ""):
-    """An Arrow function: texts of all elements with a tag (and class), white space collapsed, in page order."""
+_REFERENCE = re.compile(r"&(?:(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);)?")
+
+
+def ended_only(page: str) -> str:
+    """``page`` with each ampersand spelt out that begins no reference ended by a semicolon, so that a parser keeps it as it is."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or f"{m[1]};" in html5) else f"&amp;{m[0][1:]}", page)
+
+
+def element_texts(tag: str, mark: str = "", ended: bool = False):
+    """A pandas function: texts of all elements with a tag (and class), white space collapsed, in page order.
+
+    ``ended``: character references count only with their semicolon; otherwise some old ones do without it, as in browsers.
+    """
 
     @F.pandas_udf("array<string>")
     def found(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -81,7 +103,7 @@ def element_texts(tag: str, mark: str = ""):
             out = []
             for page in batch:
                 parser = _Texts(tag, mark)
-                parser.feed(page or "")
+                parser.feed(ended_only(page or "") if ended else page or "")
                 parser.close()
                 out.append([" ".join("".join(t).split()) for t in parser.texts])
             yield pd.Series(out)
@@ -89,9 +111,9 @@ def element_texts(tag: str, mark: str = ""):
     return found
 
 
-def first_text(tag: str, mark: str = ""):
+def first_text(tag: str, mark: str = "", ended: bool = False):
     """The first element's text, or blank."""
-    texts = element_texts(tag, mark)
+    texts = element_texts(tag, mark, ended)
     return lambda c: F.coalesce(F.try_element_at(texts(c), F.lit(1)), F.lit(""))
 
 

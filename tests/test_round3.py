@@ -32,3 +32,10 @@ def agrees(spark, name: str, folder: str) -> list[tuple]:
 
 def test_customers_without_orders(spark, tmp_path):
     agrees(spark, "jon05_latest_status", changed(tmp_path, orders="SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_custkey % 3 > 0"))
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    ends = ["&amp", "&amp;", "&am", "&", "&ampx", "&amp;lt", "&amp;lt;", "&lt", "&lt;b&gt;", "&quot;x&quot", "&&amp;&amp", "AT&T", "&x;", "&ampx;", "&#", "& amp;"]
+    pages = " UNION ALL ".join(f"SELECT {i} AS page_id, 'u' AS url, '<p>x&amp</p><a href=\"?a=1&amp;b&amp\">l</a><h1 class=\"h\">a {e}</h1><p>z' AS html" for i, e in enumerate(ends))
+    found = agrees(spark, "src19_first_heading", changed(tmp_path, pages=pages))
+    assert ("a &amp", "0") in found and ("a &", "1") in found
