@@ -31,7 +31,7 @@ def until_empty(rows: DataFrame, source: str, page: str) -> DataFrame:
 
 def until_nothing_new(rows: DataFrame, source: str, page: str, key: str) -> DataFrame:
     """First sightings of keys on the pages before the first one that brings no new key."""
-    fresh = first_seen(rows, [F.col(source), F.col(key)], [page])
+    fresh = first_seen(rows, [source, key], [page])
     return until_empty(fresh, source, page)
 
 

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_seen(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
+def first_seen(df: DataFrame, key: list[Column | str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``, which should be total; ties are broken by the remaining columns.
 
-    An aggregation, not a window: rows are combined before the shuffle, so a key of a third of all rows stays small.
+    An aggregation, not a window: rows are combined before the shuffle, so a key of a third of all rows stays small. Columns
+    named in ``key`` are the same in all rows of a key and travel once (numbers with fractions do not: 0.0 and -0.0 are one key).
     """
-    rest = [c for c in df.columns if c not in order]
-    return df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(key))).agg(F.min(F.struct(*order, *rest)).alias("_row")).select(*(f"_row.{c}" for c in df.columns))
+    kinds = dict(df.dtypes)
+    same = {k: f"_k{i}" for i, k in enumerate(key) if isinstance(k, str) and k not in order and kinds[k] in ("string", "bigint", "int", "date", "boolean")}
+    rest = [c for c in df.columns if c not in order and c not in same]
+    found = df.groupBy(*((F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(key))).agg(F.min(F.struct(*order, *rest)).alias("_row"))
+    return found.select(*(F.col(same[c]).alias(c) if c in same else F.col(f"_row.{c}") for c in df.columns))
 
 
 def last_seen(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
@@ -42,7 +46,7 @@ def has_match(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFra
 
 def only_new(new: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
     """What an insert-if-absent adds: of each key the first new row, unless the key exists already."""
-    return first_seen(new, [F.col(key)], order).join(existing.select(key), key, "left_anti").select(*new.columns)
+    return first_seen(new, [key], order).join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
 def update_or_create(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:

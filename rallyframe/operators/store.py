@@ -43,7 +43,7 @@ class HashStore:
 
     def unseen(self, batch: DataFrame, order: list[str]) -> DataFrame:
         """The first row of each key of the batch by ``order``, unless the store has the key."""
-        first = rows.first_seen(batch, [F.col(self.key)], order)
+        first = rows.first_seen(batch, [self.key], order)
         if self.empty:
             return first
         dealt = first.repartition(self.buckets, self.key)  # as the store's buckets are; equal partitionings need no exchange

@@ -67,7 +67,7 @@ for _name, _columns in {
     "ded30_draw_of_tournament": ["tournament", "draw"],
     "win07_first_per_key": ["tournament"],
 }.items():
-    _kept(_name, lambda c=_columns: [F.col(x) for x in c], ", ".join(_columns))
+    _kept(_name, lambda c=_columns: c, ", ".join(_columns))
 
 for _name, _columns in {
     "ded04_id_or_draw": ["url", "draw", "round", "w1", "l1", "score"],

@@ -6,6 +6,8 @@ import os
 
 import duckdb
 
+from rallyframe.llm import near_copies
+from rallyframe.operators import rows
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES
 
 from .oracle import TABLES, connection, spark_rows, sql_rows
@@ -39,3 +41,35 @@ def test_references_without_semicolon(spark, tmp_path):
     pages = " UNION ALL ".join(f"SELECT {i} AS page_id, 'u' AS url, '<p>x&amp</p><a href=\"?a=1&amp;b&amp\">l</a><h1 class=\"h\">a {e}</h1><p>z' AS html" for i, e in enumerate(ends))
     found = agrees(spark, "src19_first_heading", changed(tmp_path, pages=pages))
     assert ("a &amp", "0") in found and ("a &", "1") in found
+
+
+def test_pages_come_in_small_batches(spark, tmp_path):
+    before = "10000"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    try:
+        pages = "SELECT CAST(i AS bigint) AS page_id, 'u' AS url, concat('<p>', i, '</p>') AS html FROM range(3000) AS r(i)"
+        found = QUERIES["src20_paragraphs"](spark, changed(tmp_path, pages=pages))
+        assert sorted(tuple(r) for r in found.collect()) == [(i, str(i)) for i in range(3000)]
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_key_columns_travel_once(spark):
+    df = spark.createDataFrame([(2, "a", "x", 1.0), (1, "a", "z", 2.0), (1, "a", "y", 3.0), (5, None, "q", 0.0), (4, None, "r", -0.0)], "seq int, k string, v string, d double")
+    found = rows.first_seen(df, ["k"], ["seq"])
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "a", "y", 3.0), (4, None, "r", -0.0)]
+    shuffled = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "seq, seq" in shuffled and "k, k" not in shuffled
+    assert {tuple(r) for r in rows.first_seen(df, ["d"], ["seq"]).select("seq", "k").collect()} == {(2, "a"), (1, "a"), (4, None)}
+
+
+def test_links_of_a_dense_group_are_contracted(spark):
+    edges = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(100, 101), (101, 102), (100, 103), (102, 103)]
+    few = [tuple(r) for r in near_copies.contracted(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+    assert len(few) == len(set(few)) <= 39 + 4 and all(a < b for a, b in few)
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in few:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {x: 0 if x < 40 else 100 for x in root} == root
