@@ -123,6 +123,13 @@ def among(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return held.where(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, with the components of ``edges``, mostly far fewer: each b keeps its smallest a, which its other a join."""
+    low = edges.groupBy("b").agg(F.min("a").alias("low"))
+    met = edges.join(low, "b")
+    return met.select(F.col("low").alias("a"), "b").unionByName(met.where("low < a").select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def links(sketches: DataFrame, distinct: DataFrame, text: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(a, b), a < b: verified links between sets, enough to connect all that are linked within a candidate group.
 
@@ -136,9 +143,10 @@ def links(sketches: DataFrame, distinct: DataFrame, text: str = "text", chunk: i
     shared = keys.groupBy("key").agg(F.min("_set").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     met = keys.join(shared, "key").where("low < _set").select(F.col("low").alias("a"), F.col("_set").alias("b"))
     met = written(met.unionByName(close).unionByName(equal).distinct(), "copies-met")
-    groups = components(met).select(F.col("fp").alias("_set"), "root")
+    few = written(contracted(met), "copies-few")
+    groups = components(few).select(F.col("fp").alias("_set"), "root")
     members = written(groups.join(distinct.select("_set", "_first", "_bytes"), "_set"), "copies-members")
-    discard(met, by_fp)
+    discard(met, few, by_fp)
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.ceil(F.sum("_bytes") / F.lit(chunk_bytes)), F.lit(1)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("_set"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda d: F.least(own, d) * F.col("k") + F.greatest(own, d))
