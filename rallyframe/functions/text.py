@@ -19,6 +19,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(blank(c), r"(?U)^\s+|\s+$", "")
 
 
+def visible_ends(c: Column) -> Column:
+    """Whether the first and the last character are visible ASCII, so that there is nothing to strip; told without a pattern."""
+    return F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+
+
+def ends(c: Column) -> Column:
+    """As ``strip`` for a plain column: a text with visible ends is taken as it is."""
+    return F.when(visible_ends(c), c.cast("string")).otherwise(strip(c))
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.classify import draw_gender, is_mixed_draw
-from rallyframe.functions.text import blank, name_tokens, names_match, normal, strip
+from rallyframe.functions.text import blank, ends, name_tokens, names_match, normal, strip
 
 
 def agreeing(c: Column) -> Column:
@@ -60,8 +60,9 @@ def decided(na: Column, nb: Column, choices: tuple[str, str], margin: int = 2) -
 def majority(rows: DataFrame, group: list[str], member: str, value: str, choices: tuple[str, str], margin: int = 2) -> DataFrame:
     """(group, verdict): members that only ever show one of the two values vote, each once; see ``decided``."""
     a, b = choices
-    seen = rows.where(F.col(value).isin(*choices))
-    votes = single_valued(seen, [*group, member], value).groupBy(*group).agg(F.count_if(F.col(value) == a).alias("na"), F.count_if(F.col(value) == b).alias("nb"))
+    # two flags a member, which a hash aggregation combines without a sort; least and greatest texts it could not
+    seen = rows.where(F.col(value).isin(*choices)).groupBy(*group, member).agg(F.bool_or(F.col(value) == a).alias("_a"), F.bool_or(F.col(value) == b).alias("_b"))
+    votes = seen.where("_a <> _b").groupBy(*group).agg(F.count_if("_a").alias("na"), F.count_if("_b").alias("nb"))
     return votes.select(*group, decided(F.col("na"), F.col("nb"), choices, margin).alias("verdict"))
 
 
@@ -78,11 +79,13 @@ def back_fill_genders(rows: DataFrame) -> DataFrame:
     """
     draw, tournament = F.col("draw_name"), F.col("tournament_name")
     silent = ~((draw_gender(draw) != "") | is_mixed_draw(draw) | (draw_gender(tournament) != "") | is_mixed_draw(tournament))
-    marked = rows.withColumns({c: blank(F.col(c)) for c in DRAW_KEY}).withColumn("_open", F.coalesce(silent, F.lit(True)))
-    players = F.inline(F.array(*(F.struct(strip(F.col(f"{s}_name")).alias("_name"), strip(F.col(f"{s}_gender")).alias("_gender")) for s in SLOTS)))
-    named = marked.where("_open").select(*DRAW_KEY, players).where("_name <> ''")
-    verdicts = majority(named, DRAW_KEY, "_name", "_gender", ("M", "F")).where("verdict <> ''")
-    joined = marked.join(verdicts.withColumn("_open", F.lit(True)), [*DRAW_KEY, "_open"], "left")
+    marked = rows.withColumns({c: blank(F.col(c)) for c in DRAW_KEY})
+    players = F.inline(F.array(*(F.struct(ends(F.col(f"{s}_name")).alias("_name"), ends(F.col(f"{s}_gender")).alias("_gender")) for s in SLOTS)))
+    named = marked.select(*DRAW_KEY, players).where("_name <> ''")
+    # the names of a draw are read once a draw that has a verdict, not once a row
+    told = F.when(F.coalesce(silent, F.lit(True)), F.nullif("verdict", F.lit("")))
+    verdicts = majority(named, DRAW_KEY, "_name", "_gender", ("M", "F")).withColumn("verdict", told).where("verdict IS NOT NULL")
+    joined = marked.join(verdicts, DRAW_KEY, "left")
     told, spelt = F.col("verdict").isNotNull(), F.when(F.col("verdict") == "M", "Male").otherwise("Female")
     after = {"draw_gender": F.when(told, spelt).otherwise(F.col("draw_gender"))}
     after |= {f"{s}_gender": F.when(told & (blank(F.col(f"{s}_name")) != ""), F.col("verdict")).otherwise(F.col(f"{s}_gender")) for s in SLOTS}
