@@ -84,19 +84,38 @@ def replace_all(existing: DataFrame, new: DataFrame, allow_shrink: bool = False)
     return existing if sizes.new * 10 < sizes.old * 9 and not allow_shrink else new
 
 
-def fan_out(events: DataFrame, users: DataFrame, on: str, pieces: int = 64) -> DataFrame:
+def fan_out(events: DataFrame, users: DataFrame, on: str, pieces: int = 64, block: int = 64, group: int = 512) -> DataFrame:
     """Each event with each user of its ``on``; every pair is a row of the result.
 
     Keys with over a ``pieces``-th of the events, of which there are fewer than that, are split: their events are dealt over ``pieces``
     parts by a hash and their users repeated in each, so one key's pairs are made by many tasks. Null keys have no users.
+    Events of a part meet users as blocks of at most ``block``, users in groups of at most ``group``: what is joined stays as small as
+    the tables, and the pairs of a block come user by user, in runs and repeats that a columnar file stores in a fraction of a byte
+    each. A task holds the pairs of one block at a time, so ``block`` is small.
     """
-    sizes = events.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+    events, users = events.where(F.col(on).isNotNull()), users.where(F.col(on).isNotNull())
+    sizes = events.groupBy(on).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     hot = [r[on] for r in sizes.where(F.col("_n") * pieces > total).collect()]
     split = F.col(on).isin(hot) if hot else F.lit(False)
+
+    def blocks(df: DataFrame, key: list[str], name: str, size: int) -> DataFrame:
+        own = [c for c in df.columns if c not in key]
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(*own)) - 1
+        held = F.collect_list(F.struct(*own))
+        return df.withColumn("_block", F.floor(place / size)).groupBy(*key, "_block").agg((held[own[0]] if len(own) == 1 else held).alias(name)).drop("_block")
+
     dealt = events.withColumn("_piece", F.when(split, F.pmod(F.xxhash64(*events.columns), F.lit(pieces))).otherwise(0).cast("int"))
-    repeated = users.withColumn("_piece", F.explode(F.when(split, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(repeated, [on, "_piece"]).drop("_piece")
+    # a number of parts of its own: few bytes make many pairs, so parts must not be joined for being small
+    told = blocks(dealt.repartition(pieces, on, "_piece"), [on, "_piece"], "_events", block)
+    repeated = blocks(users, [on], "_users", group).withColumn("_piece", F.explode(F.when(split, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
+    met = told.join(repeated, [on, "_piece"])
+
+    def each(name: str, own: list[str]) -> Column:
+        return F.explode(name).alias(own[0]) if len(own) == 1 else F.inline(name)  # plain values make no object a row
+
+    own = [[c for c in df.columns if c != on] for df in (events, users)]
+    return met.select(on, "_events", each("_users", own[1])).select(on, each("_events", own[0]), *own[1])
 
 
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:

@@ -216,7 +216,7 @@ def all_read(spark, sf_dir):
 def fan_out_insert(spark, sf_dir):
     """A note for each event and each person who follows its place: an equality join, places with most events split."""
     urgent = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    placed = urgent.join(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("place")), "c_custkey")
+    placed = urgent.join(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("place")), "c_custkey").drop("c_custkey")
     return rows.fan_out(placed, read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_suppkey", F.col("s_nationkey").alias("place")), "place").select("o_orderkey", "s_suppkey")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
 from rallyframe.llm import near_copies
 from rallyframe.operators import rows
@@ -73,3 +74,20 @@ def test_links_of_a_dense_group_are_contracted(spark):
         for a, b in few:
             root[a] = root[b] = min(root[a], root[b])
     assert {x: 0 if x < 40 else 100 for x in root} == root
+
+
+def test_fan_out_comes_in_runs_that_a_file_stores_in_little(spark, tmp_path):
+    e = spark.range(6000).select("id", (F.col("id") * 7919 % 3).alias("team"))
+    u = spark.range(600).select((F.col("id") * 31).alias("user"), (F.col("id") % 3).alias("team"))
+    got = rows.fan_out(e, u, "team", pieces=4).select("id", "user")
+    got.write.parquet(f"{tmp_path}/pairs")
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 500_000  # 1.2 million pairs
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.count() == pairs.distinct().count() == e.join(u, "team").join(pairs, ["id", "user"]).count() == 1_200_000
+
+
+def test_fan_out_keeps_null_values_and_equal_rows(spark):
+    e = spark.createDataFrame([(None, 1), (5, 1), (5, 1), (6, None)], "id int, team int")
+    u = spark.createDataFrame([(None, 1), (2, 1), (3, None)], "user int, team int")
+    want = [(i, 1, n) for i in (None, 5, 5) for n in (None, 2)]
+    assert sorted(map(str, (tuple(r) for r in rows.fan_out(e, u, "team").select("id", "team", "user").collect()))) == sorted(map(str, want))
