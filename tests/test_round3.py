@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm import near_copies
 from rallyframe.operators import rows
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES
+from rallyframe.streaming import admission
 
 from .oracle import TABLES, connection, spark_rows, sql_rows
 
@@ -91,3 +93,27 @@ def test_fan_out_keeps_null_values_and_equal_rows(spark):
     u = spark.createDataFrame([(None, 1), (2, 1), (3, None)], "user int, team int")
     want = [(i, 1, n) for i in (None, 5, 5) for n in (None, 2)]
     assert sorted(map(str, (tuple(r) for r in rows.fan_out(e, u, "team").select("id", "team", "user").collect()))) == sorted(map(str, want))
+
+
+def test_waiting_jobs_and_events_are_held_in_few_bytes():
+    import sys
+
+    pool = admission.Pool(running=[(0, 0, 1, True)])
+    for n in range(100_000):
+        pool.ask(n, n % 7, n % 16 + 1, n % 50 == 0)
+    assert not hasattr(pool.queue, "__len__") and sum(map(sys.getsizeof, (pool.queue.jobs, pool.queue.sources, pool.queue.codes))) < 2_500_000
+    assert sum(map(len, pool.queue.packed())) == 1_700_000 and admission.EVENT.itemsize == 35
+
+
+def test_jobs_leave_the_middle_of_the_queue_in_order():
+    rng, q, plain = random.Random(3), admission.Queue(), []
+    for n in range(3000):
+        q.add(n, n % 5, n % 16 + 1, n % 9 == 0)
+        plain.append(n)
+        if rng.random() < 0.6 and plain:
+            i = rng.randrange(min(4, len(plain)))
+            q.remove(q.first + i)
+            del plain[i]
+    again = admission.Queue(*q.packed())
+    assert again.jobs.tolist() == plain and again.sources.tolist() == [n % 5 for n in plain]
+    assert again.codes.tolist() == [(n % 16 + 1) * 2 + (n % 9 == 0) for n in plain]
