@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import random
 
 import duckdb
 from pyspark.sql import functions as F
 
 from rallyframe.llm import near_copies
-from rallyframe.operators import rows
+from rallyframe.operators import rows, store
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES
 from rallyframe.streaming import admission
 
@@ -117,3 +118,11 @@ def test_jobs_leave_the_middle_of_the_queue_in_order():
     again = admission.Queue(*q.packed())
     assert again.jobs.tolist() == plain and again.sources.tolist() == [n % 5 for n in plain]
     assert again.codes.tolist() == [(n % 16 + 1) * 2 + (n % 9 == 0) for n in plain]
+
+
+def test_store_keeps_digests_in_half_their_length(spark):
+    kept = store.HashStore(spark, "k", buckets=2)
+    batch = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    assert kept.insert(batch, ["id"])[1:] == (20_000, 0)
+    assert sum(f.stat().st_size for f in pathlib.Path(kept.path).glob("*.parquet")) < 20_000 * 50  # 64 characters each
+    kept.drop()
