@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.dates import identity_date
-from rallyframe.functions.text import blank, first_letter, score_key, strip, tidy
+from rallyframe.functions.text import WHITE, blank, first_letter, score_key, strip, tidy
 
 SEPARATOR, PARTNERS = "\x1f", "|"
 
@@ -53,16 +53,12 @@ def widened(df: DataFrame, *keep: str) -> DataFrame:
     where it is blank, every other column that the rows lack blank. Texts are as given (see ``canonical_row``).
     ``keep``: columns to carry along."""
     have = set(df.columns)
-
-    def value(name: str) -> Column:
-        if name in CONSTANTS:
-            return F.lit(CONSTANTS[name])
-        if name == "draw_gender":
-            return first_given(*(F.col(c) for c in ("draw_gender", "tournament_gender") if c in have))
-        source = COPIES.get(name, name)
-        return blank(F.col(source)) if source in have else F.lit("")
-
-    return df.select(*keep, *(value(c).alias(c) for c in CANONICAL))
+    source = {c: s for c in CANONICAL if c not in CONSTANTS and c != "draw_gender" and (s := COPIES.get(c, c)) in have}
+    gender = first_given(*(F.col(c) for c in ("draw_gender", "tournament_gender") if c in have))
+    # copies name one column, so that what is done to them later is done once
+    texts = df.select(*keep, gender.alias("_draw_gender"), *(blank(F.col(s)).alias(f"_{s}") for s in dict.fromkeys(source.values())))
+    source["draw_gender"] = "draw_gender"
+    return texts.select(*keep, *((F.col(f"_{source[c]}") if c in source else F.lit(CONSTANTS.get(c, ""))).alias(c) for c in CANONICAL))
 
 
 def canonical_row(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -70,8 +66,10 @@ def canonical_row(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     have = set(df.columns)
 
     def line(c: Column) -> Column:
-        # most texts are one trimmed line, which one look tells
-        return F.when(blank(c).rlike(r"(?U)[\r\n]|^\s|\s$"), strip(F.regexp_replace(blank(c), "[\r\n]", " "))).otherwise(blank(c))
+        # A row's generated method must stay below 8000 bytes, or the JVM interprets it. Most texts are visible ASCII and spaces.
+        text = blank(c)
+        flat = F.replace(F.replace(text, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+        return F.when(text.rlike("[^ -~]"), F.btrim(flat, F.lit(WHITE))).otherwise(F.trim(text))
 
     return df.select(*keep, *(line(F.col(c)).alias(c) if c in have else F.lit("").alias(c) for c in columns))
 

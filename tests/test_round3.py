@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import pathlib
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 
 from rallyframe.llm import near_copies
-from rallyframe.operators import rows, store
+from rallyframe.operators import identity, rows, store
 from rallyframe.plans.catalog import ORACLE_SQL, QUERIES
 from rallyframe.streaming import admission
 
@@ -126,3 +127,26 @@ def test_store_keeps_digests_in_half_their_length(spark):
     assert kept.insert(batch, ["id"])[1:] == (20_000, 0)
     assert sum(f.stat().st_size for f in pathlib.Path(kept.path).glob("*.parquet")) < 20_000 * 50  # 64 characters each
     kept.drop()
+
+
+def test_canonical_rows_are_compiled_by_the_jvm(spark):
+    found = QUERIES["prj04_canonical_row"](spark, SMALL)
+    code = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000  # longer methods are interpreted
+
+
+def test_canonical_texts_lose_white_space_of_any_kind_at_their_ends(spark):
+    white = [chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["", " ", "\r\n", "\n \xa0", "a", "~", " a  b ", "a\r\nb", "é", "\xa0é\u3000é  ", "\x1c a\x1f", "\u200ba\u200b", "\x7f", " 😀 "]
+    texts += [f for w in white for f in (w, f"{w}a{w}b{w}", f"é{w}", f" {w}\n~")]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, date string")
+    want = {i: re.sub("[\r\n]", " ", t).strip("".join(white)) for i, t in enumerate(texts)} | {-1: ""}
+    assert dict(map(tuple, identity.canonical_row(df, ["date"], "id").collect())) == want
+
+
+def test_widened_copies_and_genders(spark):
+    df = spark.createDataFrame([(1, " d\n", "Singles", None, "F"), (2, None, None, " ", "M"), (3, "e", "", "x", None)], "k int, tournament_date string, draw_team_type string, draw_gender string, tournament_gender string")
+    wide = identity.widened(df, "k")
+    assert wide.columns == ["k", *identity.CANONICAL]
+    shown = wide.select("k", "date", "tournament_start_date", "tournament_end_date", "draw_team_type", "draw_type", "draw_gender", "ball_type", "score")
+    assert sorted(map(tuple, shown.collect())) == [(1, *[" d\n"] * 3, "Singles", "Singles", "F", "Yellow", ""), (2, *[""] * 5, " ", "Yellow", ""), (3, *["e"] * 3, "", "", "x", "Yellow", "")]
